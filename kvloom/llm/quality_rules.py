@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.llm.shipping import ship
-from kvloom.llm.textops import Chunk, Slices, binary, chunks, mix, signed, slice_hash, words
+from kvloom.llm.shipping import materialise, ship
+from kvloom.llm.textops import Chunk, Slices, chunks, mix, signed, slice_hash, words
 
 COMMON_SHARE = 0.005
 RARE_SHARE = 0.001
@@ -178,8 +178,6 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
 
     counted = docs.select("text", "lang").mapInArrow(count, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     # One pass gives both: words below the share are cut before anything leaves the executors.
-    from kvloom.llm.shipping import materialise
-
     counted = materialise(counted)
     sums = {r["lang"]: r["n"] for r in counted.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     floor = F.create_map(*[x for k, v in sums.items() for x in (F.lit(k), F.lit(v * COMMON_SHARE))]) if sums else None

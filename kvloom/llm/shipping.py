@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +27,20 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set(_SHIPPED, spark.sparkContext.applicationId)
 
 
-def materialise(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the cluster's checkpoint folder and read it back: lineage is cut, and a
-    lost executor costs a re-read.  ``spark.checkpoint.dir`` is used where it is set; only a
-    session without it (tests) gets a folder of its own."""
-    spark = frame.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``; only a session without
+    that setting (tests) gets one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="kvloom-checkpoints-"))
-    return frame.checkpoint()
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="kvloom-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def materialise(frame: DataFrame) -> DataFrame:
+    """``frame`` as a table in the shared folder: its lineage is cut, a lost executor costs a
+    re-read, and the planner knows its size.  The folder's owner clears it."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/kvloom-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
