@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from kvloom.llm.shipping import materialise, ship
 from kvloom.llm.textops import NULL_ID, Chunk, Slices, chunks, ids, mix, signed, slice_hash, words
 
-HOT = 4000
+HOT = 50_000
 
 
 @dataclass(frozen=True)
