@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kvloom.llm import html_extract, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, topk_search
+from kvloom.llm import html_extract, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, subword_sampling, suffix_dedup, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_subword_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    keys = {"conv_id": turns["conv_id"], "turn": turns["turn"]}
+    return subword_sampling.sample(turns, tokenizer_path("piece_bpe_32k.model"), keys, F.xxhash64("conv_id", "turn"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_topk": op4_exact_topk,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_subword_sampling": op7_subword_sampling,
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
