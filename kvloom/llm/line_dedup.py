@@ -72,9 +72,11 @@ def doubled(start: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Prefix doubling.  The suffixes with ``first`` (the earliest that shares the most lines found
     so far, if earlier than itself) and ``common`` (those lines); and each round's ranks."""
     place = F.struct("doc", "pos")
-    groups = materialise(start.where("size > 1").groupBy("rank").agg(F.min(place).alias("least")))
+    start = materialise(start)
+    rows = start.count()
+    groups = materialise(start.where("size > 1").groupBy("rank").agg(F.min(place).alias("least")), rows)
     now = materialise(
-        start.join(groups, "rank", "left").withColumn("first", F.when(_earlier("least"), F.col("least"))).withColumn("common", F.when(F.col("first").isNotNull(), F.lit(1).cast("long"))).drop("least")
+        start.join(groups, "rank", "left").withColumn("first", F.when(_earlier("least"), F.col("least"))).withColumn("common", F.when(F.col("first").isNotNull(), F.lit(1).cast("long"))).drop("least"), rows
     )
     rounds, h = [now], 1
     while True:
@@ -82,7 +84,7 @@ def doubled(start: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         paired = now.withColumn("ahead", F.coalesce(ahead, F.lit(0)))
         split = paired.where("size > 1").groupBy("rank", "ahead").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least"))
         before = Window.partitionBy("rank").orderBy("ahead").rowsBetween(Window.unboundedPreceding, -1)
-        split = materialise(split.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
+        split = materialise(split.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), rows)
         if split.where("ahead > 0").isEmpty():
             return now, rounds
         h *= 2
@@ -93,7 +95,8 @@ def doubled(start: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             .withColumn("size", F.coalesce("n", F.lit(1)))
             .withColumn("common", F.when(_earlier("least"), shared).otherwise(F.col("common")))
             .withColumn("first", F.when(_earlier("least"), F.col("least")).otherwise(F.col("first")))
-            .select("doc", "pos", "line_no", "strong", "rank", "size", "left", "first", "common")
+            .select("doc", "pos", "line_no", "strong", "rank", "size", "left", "first", "common"),
+            rows,
         )
         rounds.append(now)
 
@@ -112,6 +115,7 @@ def runs(docs: DataFrame) -> DataFrame:
     )
     # The last start of a chain shares ``common`` lines, a power of two, or all that is left.
     open_ends = chains.where("common > 1 and common < left").select("doc", "chain", F.col("last").alias("a"), F.col("copy.doc").alias("other"), (F.col("copy.pos") + F.col("last") - F.col("start")).alias("b"), "common", F.col("common").alias("top"))
+    rows = chains.count()
     for level in range(len(rounds) - 2, -1, -1):
         ranks = rounds[level].select(F.col("doc").alias("d"), F.col("pos").alias("p"), F.col("rank").alias("r"), F.col("left").alias("l"))
         mine, theirs = ranks.alias("mine"), ranks.alias("theirs")
@@ -119,7 +123,7 @@ def runs(docs: DataFrame) -> DataFrame:
             theirs, (F.col("x.other") == F.col("theirs.d")) & (F.col("x.b") + F.col("x.common") == F.col("theirs.p")), "left"
         )
         equal = (F.col("x.top") > (1 << level)) & F.coalesce(F.col("mine.r") == F.col("theirs.r"), F.lit(False))
-        open_ends = materialise(looked.select("x.doc", "x.chain", "x.a", "x.other", "x.b", (F.col("x.common") + F.when(equal, F.least(F.lit(1 << level), F.col("mine.l"))).otherwise(0)).alias("common"), "x.top"))
+        open_ends = materialise(looked.select("x.doc", "x.chain", "x.a", "x.other", "x.b", (F.col("x.common") + F.when(equal, F.least(F.lit(1 << level), F.col("mine.l"))).otherwise(0)).alias("common"), "x.top"), rows)
     found = chains.join(open_ends.select("doc", "chain", F.col("common").alias("more")), ["doc", "chain"], "left")
     found = found.withColumn("stop", F.col("last") + F.coalesce("more", "common")).where("solid < stop")
     return found.select("doc", "start", "stop", F.col("copy.doc").alias("copy_doc"), F.col("copy.pos").alias("copy_pos"))

@@ -37,10 +37,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialise(frame: DataFrame) -> DataFrame:
+ROWS_PER_FILE = 500_000
+
+
+def materialise(frame: DataFrame, rows: int | None = None) -> DataFrame:
     """``frame`` as a table in the shared folder: its lineage is cut, a lost executor costs a
-    re-read, and the planner knows its size.  The folder's owner clears it."""
+    re-read, and the planner knows its size.  The folder's owner clears it.  Where the number of
+    (short) ``rows`` is known, the table has as many files as they need, not one for each shuffle
+    partition."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/kvloom-{uuid.uuid4().hex}"
+    if rows is not None:
+        frame = frame.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // ROWS_PER_FILE))
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
