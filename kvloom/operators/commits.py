@@ -40,9 +40,9 @@ def diff(rows: DataFrame, old: int, new: int) -> DataFrame:
 
 def to_merge(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Remote rows that a merge saves: later than what is here, and of another origin or value."""
-    here = local.select("hash_key", F.col("timestamp").alias("t"), F.col("ori_timestamp").alias("o"), F.col("value").alias("v"))
+    here = local.select("hash_key", F.col("timestamp").alias("__t"), F.col("ori_timestamp").alias("__o"), F.col("value").alias("__v"))
     both = remote.join(here, "hash_key", "left")
-    fresh = F.col("t").isNull() | (F.col("t") < F.col("timestamp")) & ((F.col("o") != F.col("ori_timestamp")) | ~F.col("v").eqNullSafe(F.col("value")))
+    fresh = F.col("__t").isNull() | (F.col("__t") < F.col("timestamp")) & ((F.col("__o") != F.col("ori_timestamp")) | ~F.col("__v").eqNullSafe(F.col("value")))
     return both.where(fresh).select(*remote.columns)
 
 
