@@ -14,12 +14,12 @@ they meet at that anchor, and one anchor stands for about half a window's length
 3. ``contexts``: the tokens around the anchors that must be compared.
 4. ``compared``: within an anchor's bucket, the operator's own comparison (suffix array intervals,
    or extension both ways) gives covered spans.
-5. ``apply``: spans and texts meet again by document.  The exchange of texts is the one that step 3
-   made, so texts are shuffled once.
+5. ``apply``: spans and texts meet again by document.  Steps 3 to 5 are one plan, so the exchange
+   of texts that step 3 makes is used again and texts are shuffled once.
 
-An anchor bucket of more than ``HOT`` different contexts (a frequent passage in ever different
-surroundings) is not gathered: its windows are written out and reduced by hash to their earliest
-start, with partial aggregation before the shuffle.
+An anchor bucket of more than ``HOT`` contexts (a frequent passage in ever different surroundings)
+is not gathered: its windows are sent by hash, the earliest of each chunk only, and streamed past
+the earliest of all.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvloom.llm.shipping import materialise, ship
@@ -158,12 +158,12 @@ def matched(found: DataFrame, spec: Spec) -> DataFrame:
     )
 
 
-CONTEXTS = "anchor long, doc long, pos int, hot boolean, before binary, after binary"
+CONTEXTS = "anchor long, doc long, pos int, kind int, before binary, after binary"
 
 
 def contexts(joined: DataFrame, spec: Spec, columns: list[str]) -> DataFrame:
-    """The tokens before (reversed) and from each anchor to compare.  A hot anchor gives a row for
-    each of its windows instead: its hash as ``anchor``, its start as ``pos``."""
+    """The tokens before (reversed) and from each anchor to compare (kind 0).  A hot anchor gives
+    its windows instead, reduced within the chunk: hash as ``anchor``, start as ``pos``."""
 
     def run(batches):
         for batch in batches:
@@ -175,35 +175,46 @@ def contexts(joined: DataFrame, spec: Spec, columns: list[str]) -> DataFrame:
             at_all, key_all, hot_all = (np.asarray(inner.field(i)) for i in range(3))
             for chunk in chunks(batch.column("text")):
                 values, bounds = tokens(chunk, spec)
-                slices = None
                 raw = values.tobytes()
-                out: list[list] = [[], [], [], [], [], []]
+                key, doc, pos, before, after, hot = [], [], [], [], [], []
                 for i in range(chunk.first, chunk.last):
                     begin, stop = int(bounds[i - chunk.first]), int(bounds[i - chunk.first + 1])
                     for j in range(bounds_of[i] - base, bounds_of[i + 1] - base):
                         at = begin + int(at_all[j])
                         lo, hi = max(begin, at - spec.reach), min(stop, at + spec.window)
                         if hot_all[j]:
-                            slices = slices or Slices(values)
-                            first = np.arange(lo, min(at, hi - spec.window) + 1)
-                            out[0] += signed(slice_hash(slices, first, first + spec.window)).tolist()
-                            out[1] += [doc_ids[i]] * len(first)
-                            out[2] += (first - begin).tolist()
-                            for k, x in ((3, True), (4, b""), (5, b"")):
-                                out[k] += [x] * len(first)
+                            hot.append((doc_ids[i], begin, lo, min(at, hi - spec.window) + 1))
                             continue
-                        before = values[lo:at][::-1].tobytes() if spec.words else raw[lo:at][::-1]
-                        for column, x in zip(out, (key_all[j], doc_ids[i], at - begin, False, before, raw[at * spec.step : hi * spec.step])):
-                            column.append(x)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.binary()), pa.array(out[5], pa.binary())],
-                        names=["anchor", "doc", "pos", "hot", "before", "after"],
-                    )
+                        key.append(key_all[j])
+                        doc.append(doc_ids[i])
+                        pos.append(at - begin)
+                        before.append(values[lo:at][::-1].tobytes() if spec.words else raw[lo:at][::-1])
+                        after.append(raw[at * spec.step : hi * spec.step])
+                if key:
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array([0] * len(key), pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=_CONTEXT)
+                if hot:
+                    yield _windows(values, hot, spec)
 
     return joined.select("doc", *columns, "compare").mapInArrow(run, CONTEXTS)
 
 
+_CONTEXT = ["anchor", "doc", "pos", "kind", "before", "after"]
+
+
+def _windows(values: np.ndarray, hot: list[tuple[int, int, int, int]], spec: Spec) -> pa.RecordBatch:
+    """Rows of kind 1 for the earliest of each window in a chunk, of kind 2 for the others, which
+    are settled and get a key of their own."""
+    sizes = np.array([stop - first for _, _, first, stop in hot])
+    start = np.concatenate([np.arange(first, stop) for _, _, first, stop in hot])
+    doc = np.repeat(np.array([x[0] for x in hot], np.int64), sizes)
+    pos = start - np.repeat(np.array([x[1] for x in hot], np.int64), sizes)
+    key = slice_hash(Slices(values), start, start + spec.window)
+    late = _later(doc, pos, key, spec)
+    own = mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ pos.astype(np.uint64))
+    none = pa.nulls(len(start), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(signed(np.where(late, own, key))), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(np.where(late, 2, 1).astype(np.int32)), none, none], names=_CONTEXT)
+
+
 def common(a: bytes, b: bytes, step: int) -> int:
     """Tokens that two contexts share from their start."""
     n = min(len(a), len(b))
@@ -249,48 +260,54 @@ def furthest(members: list[int], group: list[Occurrence], spec: Spec) -> Iterato
     return zip(order, best)
 
 
-def buckets(rows: DataFrame, compare: Callable[[list[Occurrence]], Iterator[Span]]) -> DataFrame:
-    """Runs ``compare`` on each anchor's occurrences; batches are cut where the anchor changes."""
+def buckets(rows: DataFrame, compare: Callable[[list[Occurrence]], Iterator[Span]], spec: Spec) -> DataFrame:
+    """Spans to remove.  Contexts of an anchor are compared together; windows of hot anchors come
+    sorted, the earliest first, and are only streamed past it."""
 
-    def solve(table: pa.Table) -> pa.RecordBatch | None:
+    def out(doc, begin, stop) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(begin, pa.int32()), pa.array(stop, pa.int32())], names=["doc", "begin", "stop"])
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
         key = np.asarray(table.column("anchor"))
         doc, pos, before, after = (table.column(c).to_pylist() for c in ("doc", "pos", "before", "after"))
         cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
         spans: list[Span] = []
         for a, b in zip(cut, cut[1:]):
             if b - a > 1:
-                spans += compare(list(zip(doc[a:b], pos[a:b], before[a:b], after[a:b])))
-        if not spans:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array([s[0] for s in spans], pa.int64()), pa.array([s[1] for s in spans], pa.int32()), pa.array([s[2] for s in spans], pa.int32())], names=["doc", "begin", "stop"])
+                spans += set(compare(list(zip(doc[a:b], pos[a:b], before[a:b], after[a:b]))))
+        return out([s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans])
 
     def run(batches):
-        waiting = None
+        waiting, earliest = None, None
         for batch in batches:
+            kind = np.asarray(batch.column("kind"))
+            if (kind > 0).any():
+                key, doc, pos = (np.asarray(batch.column(c))[kind > 0] for c in ("anchor", "doc", "pos"))
+                heads = np.flatnonzero(np.insert(key[1:] != key[:-1], 0, True))
+                first_doc, first_pos = doc[heads], pos[heads]
+                if earliest and earliest[0] == key[0]:
+                    first_doc[0], first_pos[0] = earliest[1:]
+                of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(key))))
+                late = (doc > first_doc[of]) | (not spec.across) & (doc == first_doc[of]) & (pos > first_pos[of]) | (kind[kind > 0] == 2)
+                earliest = (key[-1], first_doc[-1], first_pos[-1])
+                yield out(doc[late], pos[late], pos[late] + spec.window)
+                batch = batch.filter(pa.array(kind == 0))
             table = pa.Table.from_batches([batch])
             if waiting is not None:
                 table = pa.concat_tables([waiting, table])
             key = np.asarray(table.column("anchor"))
-            if not len(key):
-                continue
-            last = int(np.searchsorted(key, key[-1]))
-            waiting = table.slice(last)
-            if last and (out := solve(table.slice(0, last))):
-                yield out
-        if waiting is not None and (out := solve(waiting)):
-            yield out
-
-    ready = rows.repartition("anchor").sortWithinPartitions("anchor")
+            if len(key):
+                last = int(np.searchsorted(key, key[-1]))
+                waiting = table.slice(last)
+                if last:
+                    yield solve(table.slice(0, last))
+        if waiting is not None:
+            yield solve(waiting)
+
+    ready = rows.repartition("anchor").sortWithinPartitions("anchor", "doc", "pos")
     return ready.mapInArrow(run, "doc long, begin int, stop int")
 
 
-def hot_spans(rows: DataFrame, spec: Spec) -> DataFrame:
-    """Windows of hot anchors whose equals start earlier: reduced before the shuffle."""
-    earliest = materialise(rows.groupBy("anchor").agg(F.min(F.struct("doc", "pos")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    late = (F.col("doc") > F.col("least.doc")) if spec.across else (F.struct("doc", "pos") > F.col("least"))
-    return rows.join(earliest, "anchor").where(late).select("doc", F.col("pos").alias("begin"), (F.col("pos") + spec.window).cast("int").alias("stop"))
-
-
 def mask_of(n: int, copies, spans, spec: Spec) -> np.ndarray | None:
     """Which of a document's ``n`` tokens are covered; None if none is."""
     parts = []
@@ -326,8 +343,7 @@ def apply(
     source = keyed(docs)
     lists = materialise(matched(seeds(source, spec), spec))
     to_compare = source.join(lists.where(F.size("compare") > 0).select("doc", "compare").hint("shuffle_hash"), "doc")
-    rows = materialise(contexts(to_compare, spec, columns))
-    spans = buckets(rows.where("not hot"), compare).unionByName(hot_spans(rows.where("hot"), spec))
+    spans = buckets(contexts(to_compare, spec, columns), compare, spec)
     per_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
     marks = lists.select("doc", "copies").join(per_doc, "doc", "full").select("doc", "copies", "spans")
     joined = source.join(marks.hint("shuffle_hash"), "doc", "left")
