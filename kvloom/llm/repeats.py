@@ -326,8 +326,16 @@ def mask_of(n: int, copies, spans, spec: Spec) -> np.ndarray | None:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds the id used inside (a null id is the smallest)."""
-    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    """doc (a null id is the smallest), text, and the other columns as one, so that no name of
+    theirs can clash with one used inside."""
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text", rest.alias("rest"))
+
+
+def with_text(batch: pa.RecordBatch, texts: list, columns: list[str]) -> pa.RecordBatch:
+    """The documents' own columns again, with new texts."""
+    rest = dict(zip((c for c in columns if c != "text"), batch.column("rest").flatten()))
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else rest[c] for c in columns], names=columns)
 
 
 def apply(
@@ -337,9 +345,9 @@ def apply(
     finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema,
 ) -> DataFrame:
-    """Runs the steps; ``finish`` gets the documents' own columns with ``copies`` and ``spans``."""
+    """Runs the steps; ``finish`` gets doc, text, rest, ``copies`` and ``spans``."""
     ship(docs.sparkSession)
-    columns = docs.columns
+    columns = ["text", "rest"]
     source = keyed(docs)
     lists = materialise(matched(seeds(source, spec), spec))
     to_compare = source.join(lists.where(F.size("compare") > 0).select("doc", "compare").hint("shuffle_hash"), "doc")

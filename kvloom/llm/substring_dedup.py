@@ -72,7 +72,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with texts of the kept words, joined by one space; texts that lose none stay as
     they are."""
-    columns, place = docs.columns, docs.columns.index("text")
+    columns = docs.columns
 
     def build(batch, texts, copies, spans):
         old = batch.column("text").to_pylist()
@@ -80,7 +80,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for i, words in enumerate(texts):
             kept = _kept(words, copies[i], spans[i])
             new.append(old[i] if len(kept) == len(words) else b" ".join(kept).decode("utf-8", "replace"))
-        arrays = [pa.array(new, pa.string()) if k == place else batch.column(c) for k, c in enumerate(columns)]
-        return pa.RecordBatch.from_arrays(arrays, names=columns)
+        return repeats.with_text(batch, new, columns)
 
     return repeats.apply(docs, WORDS, extend, lambda batches: _finish(batches, build), docs.schema)

@@ -30,6 +30,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from kvloom.llm.shipping import ship
 
@@ -207,4 +208,4 @@ def decode(samples: DataFrame, path: str) -> DataFrame:
             texts = [None if x is None else spell(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*columns, "decoded"])
 
-    return samples.mapInArrow(run, samples.schema.add("decoded", "string") if "decoded" not in columns else samples.schema)
+    return samples.mapInArrow(run, StructType([*samples.schema.fields, StructField("decoded", StringType())]))

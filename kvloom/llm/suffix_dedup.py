@@ -107,7 +107,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``.  A cut inside a character takes the
     rest of that character with it; a document of which nothing remains stays, with empty text."""
-    columns, place = docs.columns, docs.columns.index("text")
+    columns = docs.columns
 
     def build(batch, bounds, data, masks):
         nulls = batch.column("text").is_null().to_pylist()
@@ -115,7 +115,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for i, mask in enumerate(masks):
             text = data[bounds[i] : bounds[i + 1]]
             texts.append(None if nulls[i] else (text if mask is None else text[~mask]).tobytes().decode("utf-8", "ignore"))
-        arrays = [pa.array(texts, pa.string()) if k == place else batch.column(c) for k, c in enumerate(columns)]
-        return pa.RecordBatch.from_arrays(arrays, names=columns)
+        return repeats.with_text(batch, texts, columns)
 
     return repeats.apply(docs, BYTES, spans_of, lambda batches: _finish(batches, build), docs.schema)
