@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvloom.errors import Conflict, KvError, LimitError, NotFound
+from kvloom.shipping import ship
 
 MAX_ID, MAX_DEPTH = 900, 4
 RESERVED = ("GRD_", "GM_SYS_")
@@ -135,6 +136,8 @@ def match(docs: DataFrame, wanted: dict, *, arrays: bool = True) -> DataFrame:
             if value is not None:
                 docs = docs.where(F.contains("doc", F.lit('"' + name.split(".")[-1] + '"')) | F.lit(name.split(".")[-1].isdigit()))
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("boolean")
     def test(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t is not None and matches(json.loads(t), wanted))
@@ -190,6 +193,7 @@ def _exclude(node, paths):
 def project(docs: DataFrame, shape: dict, *, show_id: bool = False) -> DataFrame:
     """``doc`` cut to a projection; ``_id`` appears in it only when asked for."""
     include, paths = polarity(shape)
+    ship(docs.sparkSession)
 
     @F.pandas_udf("string")
     def cut(ids: pd.Series, texts: pd.Series) -> pd.Series:
