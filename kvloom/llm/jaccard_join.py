@@ -12,9 +12,10 @@ length filter and a positional filter, are made distinct, and are verified once,
 filter (both sets split at fixed hashes; the parts bound the overlap).
 
 Where a shingle's list is long, its members are not paired with each other.  They are first paired
-with one leader; members of one component need no more pairs, and after ``LEADERS`` rounds only
-pairs between different components are made.  All such pairs are verified, so no link that joins
-two components is lost.
+with one leader; then, ``TURNS`` times, those outside the list's largest component with ``LEADERS``
+members of it.  Members of one component need no pair between them, so at last only pairs between
+different components are made.  All of these are verified, so no link that joins two components
+is lost.
 
 Edge cases: null and empty texts, and texts without words, have an empty set and stand alone; a
 null doc_id is the smallest, and comes back as null; repeated rows are one class; an empty table
@@ -35,7 +36,8 @@ N = 5
 PERCENT = 80
 FREQUENCY_BUCKETS = 1 << 16
 SHORT_LIST = 4
-LEADERS = 2
+TURNS = 2
+LEADERS = 32
 
 
 def shingles(chunk: Chunk, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +145,7 @@ def _pairs_pass(n1, p1, n2, p2) -> np.ndarray:
 def meet(postings: DataFrame, turn: int | None) -> DataFrame:
     """a, b of candidate pairs, and (where ``b`` is null) the postings of long lists for later
     rounds.  ``postings`` may have a ``class`` column: members of one class are not paired.  A
-    ``turn`` picks the leader of a long list; with None all pairs of different classes are made."""
+    ``turn`` picks the leaders of a long list; with None all pairs of different classes are made."""
     classed = "class" in postings.columns
 
     def groups(batches):
@@ -183,12 +185,19 @@ def meet(postings: DataFrame, turn: int | None) -> DataFrame:
                 mine = np.arange(start, start + size)
                 if (label[mine] == label[start]).all():
                     continue
-                if turn is not None:
-                    leader = mine[mix(node[mine].astype(np.uint64) + np.uint64(turn)).argmin()]
-                    others = mine[label[mine] != label[leader]] if classed else mine[mine != leader]
+                if turn == 0:
+                    leader = mine[mix(node[mine].astype(np.uint64)).argmin()]
+                    others = mine[mine != leader]
                     lefts.append(np.full(len(others), leader))
                     rights.append(others)
                     later.append(mine)
+                elif turn is not None:
+                    found, counts = np.unique(label[mine], return_counts=True)
+                    inner = label[mine] == found[counts.argmax()]
+                    main, others = mine[inner], mine[~inner]
+                    leaders = main[np.argsort(mix(node[main].astype(np.uint64) + np.uint64(turn)))[:LEADERS]]
+                    lefts.append(np.repeat(leaders, len(others)))
+                    rights.append(np.tile(others, len(leaders)))
                 else:
                     for i in mine[:-1]:
                         others = np.arange(i + 1, start + size)
@@ -256,29 +265,30 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             a, b = np.asarray(batch.column("a")), np.asarray(batch.column("b"))
             left, right = batch.column("left"), batch.column("right")
-            good = [linked(np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)) for i in range(len(a))]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(good, pa.bool_())], names=["a", "b", "good"])
+            good = np.array([linked(np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)) for i in range(len(a))], bool)
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long, good boolean")
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node and class (its least node) of every node with a link: alternating large-star and
     small-star steps until nothing changes, as tables in the shared folder."""
-    edges = materialise(links.select("a", "b").where("a <> b").distinct())
-    before = None
+    edges = materialise(links.select("a", "b").where("a <> b").distinct(), 0)
+    n, before = edges.count(), None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), n)
         edges = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = materialise(edges)
-        least = edges.groupBy(F.greatest("a", "b").alias("a")).agg(F.min(F.least("a", "b")).alias("m"))
-        down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).join(least, "a")
-        edges = materialise(down.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct())
+        edges = materialise(edges, n)
+        # Each edge now goes from the greater node to a lesser one.
+        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        down = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        edges = materialise(down.union(least.select("a", F.col("m").alias("b"))).distinct(), n)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("class"))
-        before = now
+        n, before = now[0], now
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
@@ -296,9 +306,9 @@ def classes_of(docs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         return materialise(set_table(keyed, classes, wanted))
 
-    tried, links = pairs, materialise(verify(pairs, sets_of(pairs)).where("good"))
+    tried, links = pairs, materialise(verify(pairs, sets_of(pairs)))
     labels = components(links)
-    for turn in (*range(1, LEADERS + 1), None) if not long.isEmpty() else ():
+    for turn in (*range(1, TURNS + 1), None) if not long.isEmpty() else ():
         marked = long.join(labels, "node", "left").select("token", "node", "at", F.coalesce("class", "node").alias("class"))
         mixed = materialise(marked.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("token"))
         pairs = meet(marked.join(mixed, "token", "left_semi"), turn).where("b is not null").select("a", "b").distinct()
@@ -306,7 +316,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             continue
         tried = tried.union(pairs)
-        links = links.union(materialise(verify(pairs, sets_of(pairs)).where("good")))
+        links = links.union(materialise(verify(pairs, sets_of(pairs))))
         labels = components(links)
     named = classes.join(labels, "node", "left").select("node", "first", F.coalesce("class", "node").alias("class"))
     least = materialise(named.groupBy("class").agg(F.min("first").alias("component")))

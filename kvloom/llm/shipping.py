@@ -1,30 +1,15 @@
-"""Makes this package importable on executors and names the shared folder for checkpoints."""
+"""Names the shared folder for what is kept between steps, and writes tables there."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED = "kvloom.llm.shipped"
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers once per application (Spark copies the file)."""
-    if spark.conf.get(_SHIPPED, "") == spark.sparkContext.applicationId:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    handle, path = tempfile.mkstemp(prefix="kvloom-", suffix=".zip")
-    with os.fdopen(handle, "wb") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as pack:
-        for name in sorted(os.listdir(os.path.join(root, "llm"))):
-            if name.endswith(".py"):
-                pack.write(os.path.join(root, "llm", name), f"kvloom/llm/{name}")
-        pack.write(os.path.join(root, "__init__.py"), "kvloom/__init__.py")
-    spark.sparkContext.addPyFile(path)
-    spark.conf.set(_SHIPPED, spark.sparkContext.applicationId)
+from kvloom.shipping import ship
+
+__all__ = ["materialise", "shared_folder", "ship"]
 
 
 def shared_folder(spark: SparkSession) -> str:
