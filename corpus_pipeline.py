@@ -10,12 +10,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kvloom.llm import jaccard_join, line_dedup, packing, quality_rules, suffix_dedup
 from kvloom.llm.queries import tokenizer_path
 from kvloom.llm.shipping import materialise
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of the texts as they now are."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     return quality_rules.keep_good(docs)
@@ -23,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; those left without a line go."""
-    return line_dedup.remove_lines(docs, drop_emptied=True)
+    return _counted(line_dedup.remove_lines(docs, drop_emptied=True))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later copies of repeated strings."""
-    return suffix_dedup.remove_repeats(docs)
+    return _counted(suffix_dedup.remove_repeats(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
