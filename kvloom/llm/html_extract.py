@@ -306,8 +306,10 @@ def learn(pages: list[str]) -> Field:
 
 
 def fit(pages: DataFrame, limit: int = TRAIN_PAGES) -> Field:
-    sample = pages.where("html is not null").select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(limit)
-    return learn([r["html"] for r in sample.collect()])
+    # Only ids compete for a place; the pages of the ``limit`` ids that win are then fetched.
+    chosen = pages.where("html is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(limit).distinct()
+    sample = pages.where("html is not null").select("page_id", "html").join(F.broadcast(chosen), "page_id").limit(limit)
+    return learn([r["html"] for r in sorted(sample.collect(), key=lambda r: r["page_id"])])
 
 
 class Extractor:
