@@ -535,9 +535,9 @@ def semi(spark, sf_dir):
     return joins.members(table(spark, sf_dir, "customer"), rich, "c_custkey").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def anti(spark, sf_dir):
-    return joins.strangers(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey")
+    return joins.strangers(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_totalprice > 200000").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey")
 
 
 # --- documents ---------------------------------------------------------------------------------
