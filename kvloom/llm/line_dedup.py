@@ -138,13 +138,20 @@ def spans(docs: DataFrame) -> DataFrame:
     return islands.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
 
 
+def _solid() -> Column:
+    """Numbers of the lines of ``text`` that hold more than blanks."""
+    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "", i))
+    return F.filter(numbered, lambda i: i.isNotNull())
+
+
 def _cleaned(docs: DataFrame) -> DataFrame:
-    """``docs`` with __lines, __runs (by line number) and __kept, the lines that stay."""
-    marks = materialise(spans(docs)).withColumnsRenamed({"doc": "__doc", "runs": "__runs"})
+    """``docs`` with __lines, __runs (by line number), __covered (lines that runs take, without
+    blank ones) and __kept, the lines that stay."""
+    covered = F.aggregate("runs", F.lit(0), lambda n, r: n + (r["stop"] - r["start"]).cast("int"))
+    marks = materialise(spans(docs).withColumn("covered", covered)).withColumnsRenamed({"doc": "__doc", "runs": "__runs", "covered": "__covered"})
     # The texts go through the join whole; only their lines' numbers are looked up.
     full = docs.withColumn("__doc", _id(docs)).join(marks.hint("shuffle_hash"), "__doc", "left").withColumn("__lines", F.split("text", "\n", -1))
-    solid = F.filter(F.transform("__lines", lambda x, i: F.when(F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "", i)), lambda i: i.isNotNull())
-    full = full.withColumn("__solid", F.when(F.col("__runs").isNotNull(), solid))
+    full = full.withColumn("__solid", F.when(F.col("__runs").isNotNull(), _solid()))
     by_line = F.transform("__runs", lambda r: F.struct(F.get("__solid", r["start"]).alias("start"), (F.get("__solid", (r["stop"] - 1).cast("int")) + 1).alias("stop")))
     full = full.withColumn("__runs", by_line).withColumn("__n", F.size("__runs"))
     gaps = F.transform(
@@ -160,7 +167,8 @@ def remove_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     documents that had lines and keep none."""
     done = _cleaned(docs)
     if drop_emptied:
-        done = done.where((F.col("__runs").isNull()) | F.exists("__kept", lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != ""))
+        # On the counts: a test of __kept would be pushed below and repeat its whole expression.
+        done = done.where(F.col("__covered").isNull() | (F.size(_solid()) > F.col("__covered")))
     return done.select(*[F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
