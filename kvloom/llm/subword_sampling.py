@@ -38,6 +38,7 @@ K = 4
 RANK_OFFSET = 3.0
 BYTE_LOG_PROBABILITY = -14.0
 WORDS_KEPT = 200_000
+ROWS = 500
 _BLANK = "▁"
 
 
@@ -173,7 +174,8 @@ def sample(table: DataFrame, path: str, keys: dict[str, Column], seed: Column, t
         from kvloom.llm import subword_sampling
 
         draw = subword_sampling.sampler(path).sample
-        for batch in batches:
+        # A few rows at a time: the samples' ids are many times the size of their texts.
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             rows, number, ids, log_p, inclusion = [], [], [], [], []
             for i, (t, s) in enumerate(zip(batch.column("text").to_pylist(), batch.column("seed").to_pylist())):
                 if t is None:
