@@ -9,8 +9,9 @@ is left of them); its earliest member is the copy that stays.
 
 Every later member starts a repeated run, whose copy is the earliest member of the smallest
 interval that has an earlier one.  Neighbouring starts with the same distance to their copy are
-one run, and the length of its last common prefix is found by descending the ranks of the rounds.  A run is deleted if it has a line of at least ``STRONG`` characters: short
-lines go only as part of such a run.
+one run, and the length of its last common prefix is found by descending the ranks of the rounds.
+A run is deleted if its lines together have at least ``STRONG`` characters, however many lines that
+takes: only runs that are very short as a whole stay.
 
 Group sizes are counted with partial aggregation and joined back, so a line that a third of all
 documents hold is never in one task.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kvloom.llm.shipping import materialise
 
-STRONG = 60
+STRONG = 8  # the least number of characters of all lines of a run
 NULL_ID = -(1 << 63)
 
 
@@ -36,11 +37,11 @@ def _id(docs: DataFrame) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc, pos (among lines that are not blank), line_no, two hashes and whether it is strong."""
+    """doc, pos (among lines that are not blank), line_no, two hashes and chars (``STRONG`` at most)."""
     numbered = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda x: F.trim(F.translate(x["line"], "\t\r\x0b\x0c", "    ")) != "")
     rows = docs.select(_id(docs).alias("doc"), F.posexplode(numbered).alias("pos", "x"))
     line = F.col("x.line")
-    return rows.select("doc", "pos", F.col("x.line_no").alias("line_no"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"), (F.length(line) >= STRONG).alias("strong"))
+    return rows.select("doc", "pos", F.col("x.line_no").alias("line_no"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"), F.least(F.length(line), F.lit(STRONG)).alias("chars"))
 
 
 def line_ids(rows: DataFrame) -> DataFrame:
@@ -56,9 +57,9 @@ def line_ids(rows: DataFrame) -> DataFrame:
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """doc, pos, line_no, strong, rank, size and ``left`` (repeated lines from here to a gap)."""
+    """doc, pos, line_no, chars, rank, size and ``left`` (repeated lines from here to a gap)."""
     rows = lines(docs)
-    named = rows.join(line_ids(rows), ["h1", "h2"]).select("doc", "pos", "line_no", "strong", "rank", "size").dropDuplicates(["doc", "pos", "rank"])
+    named = rows.join(line_ids(rows), ["h1", "h2"]).select("doc", "pos", "line_no", "chars", "rank", "size").dropDuplicates(["doc", "pos", "rank"])
     by_doc = Window.partitionBy("doc").orderBy("pos")
     segment = named.withColumn("gap", F.col("pos") - F.row_number().over(by_doc))
     return segment.withColumn("left", (F.max("pos").over(Window.partitionBy("doc", "gap")) - F.col("pos") + 1).cast("long")).drop("gap")
@@ -95,7 +96,7 @@ def doubled(start: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             .withColumn("size", F.coalesce("n", F.lit(1)))
             .withColumn("common", F.when(_earlier("least"), shared).otherwise(F.col("common")))
             .withColumn("first", F.when(_earlier("least"), F.col("least")).otherwise(F.col("first")))
-            .select("doc", "pos", "line_no", "strong", "rank", "size", "left", "first", "common"),
+            .select("doc", "pos", "line_no", "chars", "rank", "size", "left", "first", "common"),
             rows,
         )
         rounds.append(now)
@@ -106,8 +107,14 @@ def runs(docs: DataFrame) -> DataFrame:
     run covers: the maximal repeated runs that are not the first of their kind."""
     now, rounds = doubled(suffixes(docs))
     by_doc = Window.partitionBy("doc").orderBy("pos")
-    following = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    seen = now.withColumn("solid", F.min(F.when(F.col("strong"), F.col("pos"))).over(following))
+    # The line with which a run from here on reaches STRONG; as no line is empty, STRONG lines do.
+    # Where a gap comes first, the counted place lies behind it, so behind the end of the run.
+    taken = F.aggregate(
+        F.collect_list("chars").over(by_doc.rowsBetween(Window.currentRow, STRONG - 1)),
+        F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n")),
+        lambda t, c: F.when(t["chars"] >= STRONG, t).otherwise(F.struct((t["chars"] + c).alias("chars"), (t["n"] + 1).alias("n"))),
+    )
+    seen = now.withColumn("taken", taken).withColumn("solid", F.when(F.col("taken.chars") >= STRONG, F.col("pos") + F.col("taken.n") - 1)).drop("taken")
     same = (F.lag("pos").over(by_doc) == F.col("pos") - 1) & (F.lag("first.doc").over(by_doc) == F.col("first.doc")) & (F.lag("first.pos").over(by_doc) == F.col("first.pos") - 1)
     later = seen.withColumn("head", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("chain", F.sum("head").over(by_doc)).where("first is not null")
     chains = materialise(

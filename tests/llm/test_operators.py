@@ -106,6 +106,16 @@ def test_line_dedup_dense_runs(spark, seed):
     assert got == brute.removed_lines(rows, line_dedup.STRONG)
 
 
+def test_line_dedup_judges_the_run(spark):
+    menu = ["Home", "News", "Help"]  # none alone reaches the bound
+    passage = [f"Line {i} of a passage" for i in range(12)]
+    notice = "All figures are given without any warranty at all."
+    texts = ["\n".join(["alpha", *passage, "ok"]), "\n".join(["beta", *passage, "gamma", "ok"]), notice + "\ndelta", "epsilon\n" + notice, "\n".join(["zeta", *menu, "ok"]), "\n".join(["eta", *menu, "theta"]), "\n".join(["Home", "iota", "Home", "News"])]
+    kept = [texts[0], "beta\ngamma\nok", texts[2], "epsilon", texts[4], "eta\ntheta", "Home\niota"]
+    done = line_dedup.remove_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in done.collect()} == dict(enumerate(kept))
+
+
 def test_line_dedup_keeps_columns_and_drops_emptied(odd):
     done = line_dedup.remove_lines(odd, drop_emptied=True)
     assert done.columns == odd.columns
