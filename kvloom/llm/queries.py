@@ -46,9 +46,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_subword_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations")
-    keys = {"conv_id": turns["conv_id"], "turn": turns["turn"]}
-    return subword_sampling.sample(turns, tokenizer_path("piece_bpe_32k.model"), keys, F.xxhash64("conv_id", "turn"))
+    docs = _table(spark, sf_dir, "documents")
+    path = tokenizer_path("piece_bpe_32k.model")
+    keys = {"doc_id": docs["doc_id"], "text_hash": F.xxhash64("text")}
+    rows = subword_sampling.decode(subword_sampling.sample(docs, path, keys, F.xxhash64("doc_id")), path)
+    return rows.withColumn("round_trip", F.xxhash64("decoded") == F.col("text_hash")).drop("text_hash", "decoded")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ RANK_OFFSET = 3.0
 BYTE_LOG_PROBABILITY = -14.0
 WORDS_KEPT = 200_000
 ROWS = 500
+IDS = 1 << 19  # a batch of samples ends at the text that reaches this many
 _BLANK = "▁"
 
 
@@ -176,21 +177,28 @@ def sample(table: DataFrame, path: str, keys: dict[str, Column], seed: Column, t
         draw = subword_sampling.sampler(path).sample
         # A few rows at a time: the samples' ids are many times the size of their texts.
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            rows, number, ids, log_p, inclusion = [], [], [], [], []
-            for i, (t, s) in enumerate(zip(batch.column("text").to_pylist(), batch.column("seed").to_pylist())):
-                if t is None:
+            rows, number, ids, log_p, inclusion, held = [], [], [], [], [], 0
+            for i, (t, s) in enumerate(zip(batch.column("text"), batch.column("seed").to_pylist())):
+                if not t.is_valid:
                     continue
-                for j, (found, p, q) in enumerate(draw(t, k, s)):
+                for j, (found, p, q) in enumerate(draw(t.as_py(), k, s)):
                     rows.append(i)
                     number.append(j)
                     ids.append(found)
                     log_p.append(p)
                     inclusion.append(q)
-            taken = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(taken) for c in names), pa.array(number, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int32()), pa.array(log_p, pa.float64()), pa.array(inclusion, pa.float64())],
-                names=[*names, "sample", "ids", "n_ids", "log_p", "inclusion"],
-            )
+                    held += len(found)
+                if held >= IDS:
+                    yield packed(batch, rows, number, ids, log_p, inclusion)
+                    rows, number, ids, log_p, inclusion, held = [], [], [], [], [], 0
+            yield packed(batch, rows, number, ids, log_p, inclusion)
+
+    def packed(batch, rows, number, ids, log_p, inclusion):
+        taken = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(taken) for c in names), pa.array(number, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int32()), pa.array(log_p, pa.float64()), pa.array(inclusion, pa.float64())],
+            names=[*names, "sample", "ids", "n_ids", "log_p", "inclusion"],
+        )
 
     schema = ", ".join([*(f"{c} long" for c in names), "sample int, ids array<int>, n_ids int, log_p double, inclusion double"])
     chosen = table.select(*[column.cast("long").alias(c) for c, column in keys.items()], table[text].alias("text"), seed.alias("seed"))
@@ -207,7 +215,7 @@ def decode(samples: DataFrame, path: str) -> DataFrame:
 
         spell = subword_sampling.sampler(path).decode
         for batch in batches:
-            texts = [None if x is None else spell(x) for x in batch.column("ids").to_pylist()]
+            texts = [spell(x.as_py()) if x.is_valid else None for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*columns, "decoded"])
 
     return samples.mapInArrow(run, StructType([*samples.schema.fields, StructField("decoded", StringType())]))

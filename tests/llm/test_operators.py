@@ -303,6 +303,15 @@ def test_subword_sampling(spark):
     assert not [r for r in rows if (r["conv_id"], r["turn"]) == (1, 1)]
 
 
+def test_subword_sampling_query_takes_whole_documents(spark, small):
+    from kvloom.llm import queries
+
+    rows = queries.op7_subword_sampling(spark, SMALL).select("doc_id", "sample", "n_ids", "round_trip").collect()
+    assert all(r["round_trip"] for r in rows)
+    assert {r["doc_id"] for r in rows} == {i for i, t in pairs(small) if t is not None}
+    assert max(r["n_ids"] for r in rows) * 8 > max(len(t or "") for _, t in pairs(small))
+
+
 def test_inclusion_scores_are_unbiased():
     sampler = subword_sampling.Sampler(tokenizer_path("piece_bpe_32k.model"))
     n, weights, p = 4000, Counter(), {}
