@@ -34,8 +34,8 @@ EPOCHS = 6
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|textarea|template|svg|iframe|math|object|noframes)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+)>"
+    r"|<(?P<raw>script|style|title|textarea|template|svg|iframe|math|object|noframes)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>"
     r"|<[/!?a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -66,7 +66,7 @@ class Node:
             mark = _MARK.search(attrs)
             own = {f"tag {tag}", *(f"name {w}" for w in _WORDS.findall(names))}
             found = Node(tag, self.features | own, self.main if mark is None else mark[1] == "1", self)
-            if len(self.children) < 5000:
+            if len(self.children) < 5000 and len(attrs) <= 4000:
                 self.children[(tag, attrs)] = found
         return found
 

@@ -279,6 +279,21 @@ def test_html_blocks():
     assert [b.text for b in html_extract.blocks(page, html_extract.root())] == ["a & b", "c d", "e f gh", "<i>", "tail"]
 
 
+@pytest.mark.parametrize("value", ["s" * 3999, "s" * 4001, "{a: <b> > 1}" * 9000, "it's = '"])
+def test_html_long_attributes(value):
+    page = f'<main data-main="1">a<article data-s="{value}"><p>b</p></article>c</main><p>d'
+    found = list(html_extract.blocks(page, html_extract.root()))
+    assert [(b.text, b.node.tag) for b in found] == [("a", "main"), ("b", "p"), ("c", "main"), ("d", "p")]
+    assert "tag article" in found[1].node.features and "tag article" not in found[2].node.features
+
+
+def test_html_open_quotes_and_custom_elements():
+    texts = lambda page: [b.text for b in html_extract.blocks(page, html_extract.root())]
+    assert texts('<p title="a>b</p><p>c') == ["b", "c"]
+    assert texts("<p don't>a</p><p>it's b") == ["a", "it's b"]
+    assert texts("<title-card>a</title-card><object-view><p>b</object-view><object/><p>no</object><p>c") == ["a", "b", "c"]
+
+
 def test_viterbi_is_best_path():
     r = random.Random(2)
     model = html_extract.Field({}, [[0.3, -0.7], [0.1, 0.9]], 0.2)
