@@ -146,8 +146,8 @@ def text_features(block: Block) -> tuple[str, ...]:
         f"links {int(share * 4)}",
         f"parent {block.node.tag}",
         "ends" if text[-1] in ".!?\"”»:…" else "open",
-        f"digits {min(3, 8 * sum(c.isdigit() for c in text[:200]) // min(200, len(text)))}",
-        "copyright" if "©" in text or "all rights reserved" in text[:200].lower() else "plain",
+        f"digits {min(3, 8 * sum(c.isdigit() for c in text) // len(text))}",
+        "copyright" if "©" in text or "all rights reserved" in text.lower() else "plain",
     )
 
 

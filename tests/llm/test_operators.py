@@ -279,6 +279,11 @@ def test_html_blocks():
     assert [b.text for b in html_extract.blocks(page, html_extract.root())] == ["a & b", "c d", "e f gh", "<i>", "tail"]
 
 
+def test_html_features_of_whole_blocks():
+    late = html_extract.Block(html_extract.root(), "word " * 60 + "7" * 900 + " All rights reserved.", 0)
+    assert {"copyright", "digits 3"} <= set(html_extract.text_features(late))
+
+
 @pytest.mark.parametrize("value", ["s" * 3999, "s" * 4001, "{a: <b> > 1}" * 9000, "it's = '"])
 def test_html_long_attributes(value):
     page = f'<main data-main="1">a<article data-s="{value}"><p>b</p></article>c</main><p>d'
