@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kvloom.shipping import ship
 
-__all__ = ["materialise", "shared_folder", "ship"]
+__all__ = ["materialise", "release", "shared_folder", "ship"]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,3 +36,11 @@ def materialise(frame: DataFrame, rows: int | None = None) -> DataFrame:
         frame = frame.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // ROWS_PER_FILE))
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes tables of ``materialise`` after their last reader."""
+    for frame in frames:
+        for folder in {name.rpartition("/")[0] for name in frame.inputFiles()}:
+            path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(frame.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -123,14 +123,23 @@ def test_line_dedup_keeps_columns_and_drops_emptied(odd):
     assert 8 in ids and 9 not in ids and 0 in ids and 1 in ids
 
 
-@pytest.mark.parametrize("short", [4, 2])
-def test_jaccard_join(odd, small, short, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "SHORT_LIST", short)
+@pytest.mark.parametrize("settings", [{}, {"SHORT_LIST": 1}, {"PART": 64, "FAN_BITS": 3, "HOT_LEAST": 3}])
+def test_jaccard_join(odd, small, settings, monkeypatch):
+    for name, value in settings.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     columns = ("n_shingles", "component_id")
     assert by_id(jaccard_join.digest(odd), *columns) == brute.near_classes(odd_rows())
     assert by_id(jaccard_join.digest(small), *columns) == brute.near_classes(pairs(small))
 
 
+def test_jaccard_judges_repeated_ids_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (None, b + " tail"), (None, c), (9, c)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_join.digest(frame).collect())) == [(0, 0), (0, 0), (1, 1), (5, 0), (5, 1), (9, 0)]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in jaccard_join.keep_one(frame).collect()) == [(0, b + " tail"), (0, c), (1, a)]
+
+
 def test_jaccard_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LEADERS", 2)
     r = random.Random(9)
