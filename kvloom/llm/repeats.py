@@ -17,13 +17,21 @@ they meet at that anchor, and one anchor stands for about half a window's length
 5. ``apply``: spans and texts meet again by document.  Steps 3 to 5 are one plan, so the exchange
    of texts that step 3 makes is used again and texts are shuffled once.
 
-An anchor bucket of more than ``HOT`` contexts (a frequent passage in ever different surroundings)
-is not gathered: its windows are sent by hash, the earliest of each chunk only, and streamed past
-the earliest of all.
+An anchor bucket of more than ``SPLIT`` contexts (a frequent passage in ever different surroundings)
+is not gathered but split (``halved``): windows that start at most half as far before the anchor
+share more of what follows it, the others more of what precedes it, so each half is dealt anew by
+the tokens its windows share, down to single windows.  Every part is compared in the same way; a
+part whose contexts share one window and that is still too large is cut, and each piece gets the
+earliest context.
+
+Documents are told apart by id and, where rows of one id have different texts, by a hash of the
+text (``copy``, else 0).  Such rows are ordered by that hash where ``across`` is not set; where it
+is, neither is earlier than the other.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,7 +43,7 @@ from pyspark.sql import functions as F
 from kvloom.llm.shipping import materialise, ship
 from kvloom.llm.textops import NULL_ID, Chunk, Slices, chunks, ids, mix, signed, slice_hash, words
 
-HOT = 50_000
+SPLIT = 20_000
 
 
 @dataclass(frozen=True)
@@ -90,27 +98,27 @@ def around(at: np.ndarray, begins: np.ndarray, stops: np.ndarray, spec: Spec) ->
     return np.maximum(begins, at - spec.reach), np.minimum(stops, at + spec.window)
 
 
-def _later(doc: np.ndarray, pos: np.ndarray, group: np.ndarray, spec: Spec) -> np.ndarray:
+def _later(doc: np.ndarray, copy: np.ndarray, pos: np.ndarray, group: np.ndarray, spec: Spec) -> np.ndarray:
     """Which rows have an earlier row in their group."""
-    order = np.lexsort((pos, doc, group))
-    g, d, p = group[order], doc[order], pos[order]
+    order = np.lexsort((pos, copy, doc, group))
+    g, d, c, p = group[order], doc[order], copy[order], pos[order]
     heads = np.flatnonzero(np.insert(g[1:] != g[:-1], 0, True))
     of = np.repeat(heads, np.diff(np.append(heads, len(g))))
     late = np.zeros(len(g), bool)
-    late[order] = (d > d[of]) if spec.across else (d > d[of]) | (p > p[of])
+    late[order] = (d > d[of]) if spec.across else (d > d[of]) | (c > c[of]) | (p > p[of])
     return late
 
 
-SEEDS = "anchor long, ctx long, doc long, pos int, cov boolean"
+SEEDS = "anchor long, ctx long, doc long, copy long, pos int, cov boolean"
 
 
 def seeds(keyed: DataFrame, spec: Spec) -> DataFrame:
-    """Anchors of ``keyed`` (doc, text).  ``cov`` marks a context that an earlier one in the same
-    chunk equals; such rows get a key of their own."""
+    """Anchors of ``keyed`` (doc, copy, text).  ``cov`` marks a context that an earlier one in the
+    same chunk equals; such rows get a key of their own."""
 
     def run(batches):
         for batch in batches:
-            doc_ids = ids(batch.column("doc"))
+            doc_ids, copies = ids(batch.column("doc")), np.asarray(batch.column("copy"))
             for chunk in chunks(batch.column("text")):
                 values, bounds = tokens(chunk, spec)
                 if len(values) < spec.window:
@@ -124,15 +132,16 @@ def seeds(keyed: DataFrame, spec: Spec) -> DataFrame:
                 with np.errstate(over="ignore"):
                     context = mix(slice_hash(slices, lo, hi) + (at - lo).astype(np.uint64))
                 key = slice_hash(slices, at, at + spec.seed)
-                doc, pos = doc_ids[chunk.first : chunk.last][text], at - bounds[text]
-                late = _later(doc, pos, context, spec)
-                own = mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ pos.astype(np.uint64))
+                doc, copy, pos = doc_ids[chunk.first : chunk.last][text], copies[chunk.first : chunk.last][text], at - bounds[text]
+                late = _later(doc, copy, pos, context, spec)
+                with np.errstate(over="ignore"):
+                    own = mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ pos.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.where(late, own, key))), pa.array(signed(context)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(late)],
-                    names=["anchor", "ctx", "doc", "pos", "cov"],
+                    [pa.array(signed(np.where(late, own, key))), pa.array(signed(context)), pa.array(doc), pa.array(copy), pa.array(pos.astype(np.int32)), pa.array(late)],
+                    names=["anchor", "ctx", "doc", "copy", "pos", "cov"],
                 )
 
-    return keyed.select("doc", "text").mapInArrow(run, SEEDS)
+    return keyed.select("doc", "copy", "text").mapInArrow(run, SEEDS)
 
 
 def matched(found: DataFrame, spec: Spec) -> DataFrame:
@@ -147,72 +156,94 @@ def matched(found: DataFrame, spec: Spec) -> DataFrame:
     if spec.across:
         grouped = grouped.where(F.col("cov") | F.col("docs"))
         lowest = F.min("doc").over(by_context)
-        copy = F.col("cov") | (F.col("doc") > lowest)
+        late = F.col("cov") | (F.col("doc") > lowest)
     else:
-        lowest = F.min(F.struct("doc", "pos")).over(by_context)
-        copy = F.col("cov") | (F.struct("doc", "pos") > lowest)
-    kinds = grouped.select("anchor", "doc", "pos", "n", copy.alias("copy"), "several").where(F.col("copy") | F.col("several"))
-    return kinds.groupBy("doc").agg(
-        F.collect_list(F.when(F.col("copy"), F.col("pos"))).alias("copies"),
-        F.collect_list(F.when(~F.col("copy"), F.struct("pos", "anchor", (F.col("n") > HOT).alias("hot")))).alias("compare"),
+        lowest = F.min(F.struct("doc", "copy", "pos")).over(by_context)
+        late = F.col("cov") | (F.struct("doc", "copy", "pos") > lowest)
+    kinds = grouped.select("anchor", "doc", "copy", "pos", "n", late.alias("late"), "several").where(F.col("late") | F.col("several"))
+    return kinds.groupBy("doc", "copy").agg(
+        F.collect_list(F.when(F.col("late"), F.col("pos"))).alias("copies"),
+        F.collect_list(F.when(~F.col("late"), F.struct("pos", "anchor", (F.col("n") > SPLIT).alias("big")))).alias("compare"),
     )
 
 
-CONTEXTS = "anchor long, doc long, pos int, kind int, before binary, after binary"
+CONTEXTS = "anchor long, doc long, copy long, pos int, big boolean, before binary, after binary"
+_CONTEXT = ["anchor", "doc", "copy", "pos", "big", "before", "after"]
 
 
 def contexts(joined: DataFrame, spec: Spec, columns: list[str]) -> DataFrame:
-    """The tokens before (reversed) and from each anchor to compare (kind 0).  A hot anchor gives
-    its windows instead, reduced within the chunk: hash as ``anchor``, start as ``pos``."""
+    """The tokens before (reversed) and from each anchor to compare."""
 
     def run(batches):
         for batch in batches:
-            doc_ids = ids(batch.column("doc"))
+            doc_ids, copies = ids(batch.column("doc")), np.asarray(batch.column("copy"))
             lists = batch.column("compare")
             bounds_of = np.asarray(lists.offsets)
             inner = lists.flatten()
             base = bounds_of[0]
-            at_all, key_all, hot_all = (np.asarray(inner.field(i)) for i in range(3))
+            at_all, key_all, big_all = (np.asarray(inner.field(i)) for i in range(3))
             for chunk in chunks(batch.column("text")):
                 values, bounds = tokens(chunk, spec)
                 raw = values.tobytes()
-                key, doc, pos, before, after, hot = [], [], [], [], [], []
+                rows = []
                 for i in range(chunk.first, chunk.last):
                     begin, stop = int(bounds[i - chunk.first]), int(bounds[i - chunk.first + 1])
                     for j in range(bounds_of[i] - base, bounds_of[i + 1] - base):
                         at = begin + int(at_all[j])
                         lo, hi = max(begin, at - spec.reach), min(stop, at + spec.window)
-                        if hot_all[j]:
-                            hot.append((doc_ids[i], begin, lo, min(at, hi - spec.window) + 1))
-                            continue
-                        key.append(key_all[j])
-                        doc.append(doc_ids[i])
-                        pos.append(at - begin)
-                        before.append(values[lo:at][::-1].tobytes() if spec.words else raw[lo:at][::-1])
-                        after.append(raw[at * spec.step : hi * spec.step])
-                if key:
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array([0] * len(key), pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=_CONTEXT)
-                if hot:
-                    yield _windows(values, hot, spec)
-
-    return joined.select("doc", *columns, "compare").mapInArrow(run, CONTEXTS)
-
-
-_CONTEXT = ["anchor", "doc", "pos", "kind", "before", "after"]
-
-
-def _windows(values: np.ndarray, hot: list[tuple[int, int, int, int]], spec: Spec) -> pa.RecordBatch:
-    """Rows of kind 1 for the earliest of each window in a chunk, of kind 2 for the others, which
-    are settled and get a key of their own."""
-    sizes = np.array([stop - first for _, _, first, stop in hot])
-    start = np.concatenate([np.arange(first, stop) for _, _, first, stop in hot])
-    doc = np.repeat(np.array([x[0] for x in hot], np.int64), sizes)
-    pos = start - np.repeat(np.array([x[1] for x in hot], np.int64), sizes)
-    key = slice_hash(Slices(values), start, start + spec.window)
-    late = _later(doc, pos, key, spec)
-    own = mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ pos.astype(np.uint64))
-    none = pa.nulls(len(start), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(signed(np.where(late, own, key))), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(np.where(late, 2, 1).astype(np.int32)), none, none], names=_CONTEXT)
+                        before = values[lo:at][::-1].tobytes() if spec.words else raw[lo:at][::-1]
+                        rows.append((key_all[j], doc_ids[i], copies[i], at - begin, big_all[j], before, raw[at * spec.step : hi * spec.step]))
+                if rows:
+                    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=_CONTEXT)
+
+    return joined.select("doc", "copy", *columns, "compare").mapInArrow(run, CONTEXTS)
+
+
+def halved(rows: DataFrame, spec: Spec) -> DataFrame:
+    """Contexts dealt anew.  Those of a part (``least`` to ``most`` tokens before the anchor at
+    which its windows start) go to both halves of that range, keyed by the tokens that all windows
+    of the half share; a context too short for the half stays out."""
+    step = spec.step
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                middle = (row["least"] + row["most"]) // 2
+                for least, most in ((row["least"], middle), (middle + 1, row["most"])):
+                    right = (spec.window - most) * step
+                    if least <= most and len(row["before"]) >= least * step and len(row["after"]) >= right:
+                        shared = row["before"][: least * step] + b"|" + row["after"][:right]
+                        key = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=least.to_bytes(4, "little") + most.to_bytes(4, "little")).digest(), "little", signed=True)
+                        found.append({**row, "anchor": key, "least": least, "most": most})
+            yield pa.RecordBatch.from_pylist(found, schema=batch.schema)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def parts_of(big: DataFrame, spec: Spec) -> DataFrame:
+    """Contexts of big buckets as parts of at most ``SPLIT``."""
+    rows = materialise(big.withColumn("least", F.lit(0)).withColumn("most", F.lit(spec.reach)))
+    columns, done = ["anchor", "doc", "copy", "pos", "big", "before", "after"], None
+    while not rows.isEmpty():
+        counts = F.count(F.lit(1)).alias("n")
+        dealt = materialise(halved(rows, spec))
+        sizes = materialise(dealt.groupBy("anchor").agg(counts, F.min(F.struct("doc", "copy", "pos", "before", "after")).alias("earliest")).where("n > 1"))
+        dealt = dealt.join(sizes, "anchor")
+        whole = dealt.where(F.col("n") <= SPLIT).select(columns)
+        # All of a part with one window left share it: pieces of it need no more than the earliest.
+        single = dealt.where((F.col("n") > SPLIT) & (F.col("least") == F.col("most")))
+        pieces = F.ceil(F.col("n") / SPLIT).cast("int")
+        piece = F.xxhash64("anchor", F.pmod(F.xxhash64("doc", "copy", "pos"), pieces))
+        cut = single.select(piece.alias("anchor"), *columns[1:])
+        heads = sizes.where(F.col("n") > SPLIT).select(F.explode(F.sequence(F.lit(0), pieces - 1)).alias("i"), "anchor", "earliest")
+        heads = heads.select(F.xxhash64("anchor", F.col("i").cast("long")).alias("anchor"), "earliest.doc", "earliest.copy", "earliest.pos", F.lit(True).alias("big"), "earliest.before", "earliest.after")
+        cut = cut.union(heads.join(cut.select("anchor").distinct(), "anchor", "left_semi")).dropDuplicates(["anchor", "doc", "copy", "pos"])
+        found = whole.union(cut)
+        done = found if done is None else done.union(found)
+        rows = materialise(dealt.where((F.col("n") > SPLIT) & (F.col("least") < F.col("most"))).select(rows.columns))
+    return done if done is not None else big.select(columns)
 
 
 def common(a: bytes, b: bytes, step: int) -> int:
@@ -230,9 +261,9 @@ def common(a: bytes, b: bytes, step: int) -> int:
     return lo
 
 
-#: doc, position, tokens before (reversed), tokens from the anchor on.
-Occurrence = tuple[int, int, bytes, bytes]
-#: doc, first and last token removed (exclusive).
+#: (doc, copy), position, tokens before (reversed), tokens from the anchor on.
+Occurrence = tuple[tuple[int, int], int, bytes, bytes]
+#: Occurrence (index), tokens removed before its anchor and from it on.
 Span = tuple[int, int, int]
 
 
@@ -243,7 +274,7 @@ def furthest(members: list[int], group: list[Occurrence], spec: Spec) -> Iterato
     order = sorted(members, key=lambda i: group[i][2])
     shared = [common(group[a][2], group[b][2], spec.step) for a, b in zip(order, order[1:])]
     best = [-1] * len(order)
-    age = [(group[i][0], 0 if spec.across else group[i][1]) for i in order]
+    age = [group[i][0][0] if spec.across else (group[i][0], group[i][1]) for i in order]
     for turn in (range(len(order)), range(len(order) - 1, -1, -1)):
         stack: list[list] = []  # index, tokens shared by it and the scan's present end
         for x in turn:
@@ -260,52 +291,43 @@ def furthest(members: list[int], group: list[Occurrence], spec: Spec) -> Iterato
     return zip(order, best)
 
 
-def buckets(rows: DataFrame, compare: Callable[[list[Occurrence]], Iterator[Span]], spec: Spec) -> DataFrame:
-    """Spans to remove.  Contexts of an anchor are compared together; windows of hot anchors come
-    sorted, the earliest first, and are only streamed past it."""
-
-    def out(doc, begin, stop) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(begin, pa.int32()), pa.array(stop, pa.int32())], names=["doc", "begin", "stop"])
+def buckets(rows: DataFrame, compare: Callable[[list[Occurrence]], Iterator[Span]]) -> DataFrame:
+    """Spans to remove: contexts of an anchor are compared together.  All spans of an occurrence
+    hold its anchor, so together they are one."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         key = np.asarray(table.column("anchor"))
-        doc, pos, before, after = (table.column(c).to_pylist() for c in ("doc", "pos", "before", "after"))
+        doc, copy, pos, before, after = (table.column(c).to_pylist() for c in ("doc", "copy", "pos", "before", "after"))
         cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        spans: list[Span] = []
+        spans = []
         for a, b in zip(cut, cut[1:]):
-            if b - a > 1:
-                spans += set(compare(list(zip(doc[a:b], pos[a:b], before[a:b], after[a:b]))))
-        return out([s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans])
+            if b - a < 2:
+                continue
+            widest: dict[int, tuple[int, int]] = {}
+            for i, left, right in compare(list(zip(zip(doc[a:b], copy[a:b]), pos[a:b], before[a:b], after[a:b]))):
+                old = widest.get(i, (0, 0))
+                widest[i] = (max(left, old[0]), max(right, old[1]))
+            spans += [(doc[a + i], copy[a + i], pos[a + i] - left, pos[a + i] + right) for i, (left, right) in widest.items()]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in spans], t) for k, t in enumerate(types)], names=["doc", "copy", "begin", "stop"])
 
     def run(batches):
-        waiting, earliest = None, None
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            kind = np.asarray(batch.column("kind"))
-            if (kind > 0).any():
-                key, doc, pos = (np.asarray(batch.column(c))[kind > 0] for c in ("anchor", "doc", "pos"))
-                heads = np.flatnonzero(np.insert(key[1:] != key[:-1], 0, True))
-                first_doc, first_pos = doc[heads], pos[heads]
-                if earliest and earliest[0] == key[0]:
-                    first_doc[0], first_pos[0] = earliest[1:]
-                of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(key))))
-                late = (doc > first_doc[of]) | (not spec.across) & (doc == first_doc[of]) & (pos > first_pos[of]) | (kind[kind > 0] == 2)
-                earliest = (key[-1], first_doc[-1], first_pos[-1])
-                yield out(doc[late], pos[late], pos[late] + spec.window)
-                batch = batch.filter(pa.array(kind == 0))
-            table = pa.Table.from_batches([batch])
-            if waiting is not None:
-                table = pa.concat_tables([waiting, table])
-            key = np.asarray(table.column("anchor"))
-            if len(key):
-                last = int(np.searchsorted(key, key[-1]))
-                waiting = table.slice(last)
-                if last:
-                    yield solve(table.slice(0, last))
-        if waiting is not None:
-            yield solve(waiting)
-
-    ready = rows.repartition("anchor").sortWithinPartitions("anchor", "doc", "pos")
-    return ready.mapInArrow(run, "doc long, begin int, stop int")
+            key = np.asarray(batch.column("anchor"))
+            if not len(key):
+                continue
+            # Only the last bucket of a batch can go on in the next one.
+            last = int(np.searchsorted(key == key[-1], True))
+            if last or waiting and waiting[-1].column("anchor")[0].as_py() != key[0]:
+                yield solve(pa.Table.from_batches([*waiting, batch.slice(0, last)]))
+                waiting = []
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield solve(pa.Table.from_batches(waiting))
+
+    ready = rows.repartition("anchor").sortWithinPartitions("anchor", "doc", "copy", "pos")
+    return ready.mapInArrow(run, "doc long, copy long, begin int, stop int")
 
 
 def mask_of(n: int, copies, spans, spec: Spec) -> np.ndarray | None:
@@ -326,10 +348,16 @@ def mask_of(n: int, copies, spans, spec: Spec) -> np.ndarray | None:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc (a null id is the smallest), text, and the other columns as one, so that no name of
-    theirs can clash with one used inside."""
+    """doc (a null id is the smallest), copy, text, and the other columns as one, so that no name
+    of theirs can clash with one used inside."""
     rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text", rest.alias("rest"))
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("hash"), "text", rest.alias("rest"))
+    texts = named.select("doc", "hash").distinct()
+    several = materialise(texts.join(texts.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc"), "doc"))
+    if several.isEmpty():
+        return named.select("doc", F.lit(0).cast("long").alias("copy"), "text", "rest")
+    told = named.join(several.withColumn("copy", F.col("hash")), ["doc", "hash"], "left")
+    return told.select("doc", F.coalesce("copy", F.lit(0).cast("long")).alias("copy"), "text", "rest")
 
 
 def with_text(batch: pa.RecordBatch, texts: list, columns: list[str]) -> pa.RecordBatch:
@@ -347,12 +375,15 @@ def apply(
 ) -> DataFrame:
     """Runs the steps; ``finish`` gets doc, text, rest, ``copies`` and ``spans``."""
     ship(docs.sparkSession)
-    columns = ["text", "rest"]
+    columns, key = ["text", "rest"], ["doc", "copy"]
     source = keyed(docs)
     lists = materialise(matched(seeds(source, spec), spec))
-    to_compare = source.join(lists.where(F.size("compare") > 0).select("doc", "compare").hint("shuffle_hash"), "doc")
-    spans = buckets(contexts(to_compare, spec, columns), compare, spec)
-    per_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
-    marks = lists.select("doc", "copies").join(per_doc, "doc", "full").select("doc", "copies", "spans")
-    joined = source.join(marks.hint("shuffle_hash"), "doc", "left")
-    return joined.select("doc", *columns, "copies", "spans").mapInArrow(finish, schema)
+    to_compare = source.join(lists.where(F.size("compare") > 0).select(*key, "compare").hint("shuffle_hash"), key)
+    found = contexts(to_compare, spec, columns)
+    if not lists.where(F.exists("compare", lambda x: x["big"])).isEmpty():
+        found = materialise(found)
+        found = found.where("NOT big").union(parts_of(found.where("big"), spec))
+    per_doc = buckets(found, compare).groupBy(*key).agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+    marks = lists.select(*key, "copies").join(per_doc, key, "full").select(*key, "copies", "spans")
+    joined = source.join(marks.hint("shuffle_hash"), key, "left")
+    return joined.select(*key, *columns, "copies", "spans").mapInArrow(finish, schema)

@@ -7,8 +7,9 @@ seed the match is extended to the right and to the left, and maximal repeats of
 that share its right part, not pair by pair.
 
 Edge cases: a null or text without words has no words and loses none; a null doc_id counts as the
-smallest and comes back as null; rows that repeat id and text get the same result each; an empty
-table gives no rows; other columns are not read by ``digest`` and pass unchanged through
+smallest and comes back as null; rows that repeat id and text get the same result each; rows of one
+id (or of none) with different texts are documents of their own, neither smaller than the other; an
+empty table gives no rows; other columns are not read by ``digest`` and pass unchanged through
 ``remove_repeats``.
 """
 
@@ -40,7 +41,7 @@ def extend(group: list[Occurrence], spec: Spec = WORDS) -> Iterator[Span]:
             continue
         for i, left in repeats.furthest(order[first : last + 1], group, spec):
             if left >= 0 and left + right >= spec.window:
-                yield group[i][0], group[i][1] - left, group[i][1] + right
+                yield i, left, right
 
 
 def _finish(batches, build):

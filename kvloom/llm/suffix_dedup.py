@@ -10,8 +10,9 @@ maximal repeat, and those that share what precedes are extended to the left befo
 reported, with all occurrences of the group.
 
 Edge cases: a null or empty text has no bytes and loses none; a null doc_id sorts before all others
-and comes back as null; rows that repeat id and text get the same result each; an empty table gives
-no rows; other columns are not read by ``digest`` and pass unchanged through ``remove_repeats``.
+and comes back as null; rows that repeat id and text get the same result each; rows of one id (or
+of none) with different texts are documents of their own, ordered by a hash of their texts; an
+empty table gives no rows; other columns are not read by ``digest`` and pass unchanged through ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def spans_of(group: list[Occurrence], spec: Spec = BYTES) -> Iterator[Span]:
         first = min((group[i][0], group[i][1]) for i in members)
         for i in members:
             if (group[i][0], group[i][1]) > first:
-                yield group[i][0], group[i][1] - left, group[i][1] + length
+                yield i, left, length
 
 
 def _finish(batches, build):

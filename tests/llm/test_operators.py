@@ -59,21 +59,21 @@ def by_id(df, *columns):
     return found
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_suffix_dedup(odd, small, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("split", [20_000, 1])
+def test_suffix_dedup(odd, small, split, monkeypatch):
+    monkeypatch.setattr(repeats, "SPLIT", split)
     columns = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert by_id(suffix_dedup.digest(odd), *columns) == brute.removed_bytes(odd_rows())
-    if hot > 1:
+    if split > 1:
         assert by_id(suffix_dedup.digest(small), *columns) == brute.removed_bytes(pairs(small))
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_substring_dedup(odd, small, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("split", [20_000, 1])
+def test_substring_dedup(odd, small, split, monkeypatch):
+    monkeypatch.setattr(repeats, "SPLIT", split)
     columns = ("n_words", "n_removed", "kept_sha256")
     assert by_id(substring_dedup.digest(odd), *columns) == brute.removed_words(odd_rows())
-    if hot > 1:
+    if split > 1:
         assert by_id(substring_dedup.digest(small), *columns) == brute.removed_words(pairs(small))
 
 
@@ -85,6 +85,31 @@ def test_repeats_are_cut_from_texts(odd):
         assert done.where("doc_id = 9").first()["text"] == ""
 
 
+@pytest.mark.parametrize("split", [20_000, 2])
+def test_repeats_of_repeated_and_null_ids(spark, split, monkeypatch):
+    monkeypatch.setattr(repeats, "SPLIT", split)
+    a, p, b, other = (" ".join(f"{x}{i}" for i in range(80)) for x in "apbo")
+    rows = [(None, a + " " + p), (None, p + " " + b), (1, p), (5, p), (5, other), (7, other + " end")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dedup.digest(frame).collect())
+    assert got == [(0, 160, 0), (0, 160, 0), (1, 80, 80), (5, 80, 0), (5, 80, 80), (7, 81, 80)]
+    texts = [((r["doc_id"] or 0), r["text"]) for r in suffix_dedup.remove_repeats(frame).collect()]
+    assert (1, "") in texts and (5, "") in texts and (5, other) in texts and (7, " end") in texts
+    nulls = sorted(t for i, t in texts if i == 0)
+    assert [a + " " + p, " " + b] in (nulls, nulls[::-1]) or [a + " ", p + " " + b] in (nulls, nulls[::-1]) or sorted([a, p + " " + b]) == nulls
+
+
+def test_repeats_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SPLIT", 5)
+    r = random.Random(3)
+    say = lambda n: " ".join(r.choice(["ab", "cde", "fghi", "jk"]) + str(r.randrange(900)) for _ in range(n))
+    core, near = say(12), say(30)
+    rows = [(i, say(r.randrange(9)) + " " + near[r.randrange(3) * 40 :] + " " + core + " " + say(r.randrange(3)) + near[: r.randrange(90)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(suffix_dedup.digest(frame), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.removed_bytes(rows)
+    assert by_id(substring_dedup.digest(frame), "n_words", "n_removed", "kept_sha256") == brute.removed_words(rows)
+
+
 def test_interval_tree():
     assert sorted(suffix_dedup.intervals([0, 1, 3, 2, 0])) == [(0, 0, 4), (1, 0, 3), (2, 1, 3), (3, 1, 2)]
     group = [(1, 50, b"zy", b"a" * 120), (2, 10, b"zx", b"a" * 110 + b"b" * 10), (3, 0, b"", b"a" * 120)]
