@@ -1,148 +1,159 @@
 """Line dedup with DataFrame operations only: a suffix array over sequences of line ids.
 
 Lines that hold more than blanks are numbered in each document.  Lines found once cannot be in a
-repeated run, so only repeated lines keep their place; their ids are start ranks of the sorted line
-hashes.  Prefix doubling then ranks the suffixes: in each round a suffix in a group of equals takes
-the pair (its rank, the rank ``h`` lines on), groups split by it, and ``h`` doubles, until no group
-can split.  A group is an interval of the suffix array whose members share ``h`` lines (or all that
-is left of them); its earliest member is the copy that stays.
-
-Every later member starts a repeated run, whose copy is the earliest member of the smallest
-interval that has an earlier one.  Neighbouring starts with the same distance to their copy are
-one run, and the length of its last common prefix is found by descending the ranks of the rounds.
-A run is deleted if its lines together have at least ``STRONG`` characters, however many lines that
-takes: only runs that are very short as a whole stay.
-
-Group sizes are counted with partial aggregation and joined back, so a line that a third of all
-documents hold is never in one task.
+repeated run, so only repeated lines keep their place, in *segments* without gaps; their ids are
+start ranks of the sorted line hashes.  Prefix doubling then ranks the suffixes: in each round a
+suffix in a group of equals takes the pair (its rank, the rank ``h`` lines on), groups split by it,
+and ``h`` doubles, until no group can split.  Segments of at most ``h`` lines have their final ranks
+and leave the rounds, so a round costs what is left.
+
+A group is an interval of the suffix array whose members share ``h`` lines.  A suffix that is not
+the earliest of its group starts a later copy of a run.  ``common`` is the length of the longest
+prefix that an earlier suffix shares: exact below ``STRONG`` (lengths between two rounds are told by
+two overlapping ranks), and from there on a power of two, since the next start of the same run
+covers what follows.  A run is deleted if its lines together have at least ``STRONG`` characters; as
+no line is empty, ``STRONG`` lines do, so what is deleted is exact: every line of every later copy
+of a maximal repeated run that is not very short as a whole.
+
+Ranks come from sums over ranges of the sorted keys and group sizes from partial aggregation, both
+joined back, so a line that a third of all documents hold is never in one task.
 
 Edge cases: a null text stays null and has no lines; an empty text has none either; a null doc_id
-sorts first; rows that repeat an id count as one document each when their texts are equal (all
-copies keep the same lines); an empty table gives no rows; other columns pass unchanged.
+sorts first; rows that repeat id and text count as one document (all keep the same lines); rows of
+one id (or of none) with different texts are documents of their own, ordered by a hash of their
+texts; an empty table gives no rows; other columns pass unchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from kvloom.llm.identity import told_apart
 from kvloom.llm.shipping import materialise
 
 STRONG = 8  # the least number of characters of all lines of a run
-NULL_ID = -(1 << 63)
 
 
-def _id(docs: DataFrame) -> Column:
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))
+def _by_doc() -> WindowSpec:
+    return Window.partitionBy("doc", "copy").orderBy("pos")
+
+
+def _place() -> Column:
+    return F.struct("doc", "copy", "pos")
+
+
+def _later(least: str = "least") -> Column:
+    return F.coalesce(F.col(least) < _place(), F.lit(False))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc, pos (among lines that are not blank), line_no, two hashes and chars (``STRONG`` at most)."""
+    """doc, copy, pos (among lines that are not blank), line_no, two hashes and chars (``STRONG`` at
+    most) of ``docs`` (doc, copy, text)."""
     numbered = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda x: F.trim(F.translate(x["line"], "\t\r\x0b\x0c", "    ")) != "")
-    rows = docs.select(_id(docs).alias("doc"), F.posexplode(numbered).alias("pos", "x"))
+    rows = docs.select("doc", "copy", F.posexplode(numbered).alias("pos", "x"))
     line = F.col("x.line")
-    return rows.select("doc", "pos", F.col("x.line_no").alias("line_no"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"), F.least(F.length(line), F.lit(STRONG)).alias("chars"))
+    return rows.select("doc", "copy", "pos", F.col("x.line_no").alias("line_no"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"), F.least(F.length(line), F.lit(STRONG)).alias("chars"))
 
 
-def line_ids(rows: DataFrame) -> DataFrame:
-    """h1, h2, rank (1 + lines that sort before) and size of every line found more than once."""
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    found = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    dealt = materialise(found.repartitionByRange(int(parts), "h1", "h2").withColumn("part", F.spark_partition_id()))
+def ordered(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``groups`` with ``start``: how many members (``size``) groups with smaller keys have."""
+    parts = groups.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    dealt = materialise(groups.repartitionByRange(int(parts), *keys).withColumn("part", F.spark_partition_id()))
     sums = dealt.groupBy("part").agg(F.sum("size").alias("n"))  # a row for each partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("part").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
-    return materialise(dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, "part").select("h1", "h2", (F.col("start") + F.col("inside") + 1).alias("rank"), "size"))
+    starts = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("sum"))
+    inside = Window.partitionBy("part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, "part").withColumn("start", F.col("sum") + F.col("inside")).drop("part", "inside", "sum")
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """doc, pos, line_no, chars, rank, size and ``left`` (repeated lines from here to a gap)."""
-    rows = lines(docs)
-    named = rows.join(line_ids(rows), ["h1", "h2"]).select("doc", "pos", "line_no", "chars", "rank", "size").dropDuplicates(["doc", "pos", "rank"])
-    by_doc = Window.partitionBy("doc").orderBy("pos")
-    segment = named.withColumn("gap", F.col("pos") - F.row_number().over(by_doc))
-    return segment.withColumn("left", (F.max("pos").over(Window.partitionBy("doc", "gap")) - F.col("pos") + 1).cast("long")).drop("gap")
-
-
-def _earlier(first: str, doc: str = "doc", pos: str = "pos") -> Column:
-    return F.col(first) < F.struct(F.col(doc).alias("doc"), F.col(pos).alias("pos"))
-
-
-def doubled(start: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Prefix doubling.  The suffixes with ``first`` (the earliest that shares the most lines found
-    so far, if earlier than itself) and ``common`` (those lines); and each round's ranks."""
-    place = F.struct("doc", "pos")
-    start = materialise(start)
-    rows = start.count()
-    groups = materialise(start.where("size > 1").groupBy("rank").agg(F.min(place).alias("least")), rows)
-    now = materialise(
-        start.join(groups, "rank", "left").withColumn("first", F.when(_earlier("least"), F.col("least"))).withColumn("common", F.when(F.col("first").isNotNull(), F.lit(1).cast("long"))).drop("least"), rows
-    )
-    rounds, h = [now], 1
+    """doc, copy, pos, line_no, chars, rank (1 + lines that sort before), size (of its group),
+    ``least`` (the group's first place), ``left`` (repeated lines from here to a gap) and ``seg``
+    (lines of the segment)."""
+    rows = materialise(lines(docs))
+    found = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size"), F.min(_place()).alias("least")).where("size > 1")
+    ids = ordered(found, ["h1", "h2"]).select("h1", "h2", (F.col("start") + 1).alias("rank"), "size", "least")
+    named = rows.join(ids, ["h1", "h2"]).drop("h1", "h2").repartition("doc", "copy").dropDuplicates(["doc", "copy", "pos"])
+    segment = Window.partitionBy("doc", "copy", "gap")
+    named = named.withColumn("gap", F.col("pos") - F.row_number().over(_by_doc()))
+    named = named.withColumn("left", F.max("pos").over(segment) - F.col("pos") + 1).withColumn("seg", F.count(F.lit(1)).over(segment))
+    return materialise(named.drop("gap"))
+
+
+def _ahead(h: int) -> Column:
+    """The rank ``h`` lines on in the same segment, else 0."""
+    return F.when(F.col("left") > h, F.max("rank").over(_by_doc().rangeBetween(h, h))).otherwise(F.lit(0))
+
+
+def _grown(rows: DataFrame, h: int) -> DataFrame:
+    """Between two rounds: suffixes that share ``h`` lines with an earlier one, and more of the next
+    ``h - 1``.  A prefix of ``h + k`` lines is told by the ranks here and ``k`` lines on."""
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), _ahead(k).alias("ahead")) for k in range(1, h)])
+    tried = rows.where(F.col("seg") > h).withColumn("key", keys).withColumn("key", F.explode("key")).where(F.col("left") >= F.col("key.k") + h)
+    least = tried.groupBy("rank", "key").agg(F.min(_place()).alias("best"))
+    later = tried.join(least, ["rank", "key"]).where(_later("best"))
+    return later.groupBy("doc", "copy", "pos").agg((F.max("key.k") + h).alias("more"))
+
+
+def doubled(start: DataFrame) -> DataFrame:
+    """Prefix doubling of suffixes of segments of several lines: doc, copy, pos, line_no, chars,
+    rank, ``common`` (lines shared with an earlier suffix; 0 if none) and ``first``, the earliest
+    suffix that shares them."""
+    now = start.withColumn("common", F.when(_later(), F.lit(1)).otherwise(F.lit(0))).withColumn("first", F.when(_later(), F.col("least"))).drop("least")
+    h, done, grown = 1, [], []
     while True:
-        ahead = F.max("rank").over(Window.partitionBy("doc").orderBy("pos").rangeBetween(h, h))
-        paired = now.withColumn("ahead", F.coalesce(ahead, F.lit(0)))
-        split = paired.where("size > 1").groupBy("rank", "ahead").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least"))
-        before = Window.partitionBy("rank").orderBy("ahead").rowsBetween(Window.unboundedPreceding, -1)
-        split = materialise(split.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), rows)
+        done.append(now.where(F.col("seg") <= h))
+        now = now.where(F.col("seg") > h)
+        if 1 < h < STRONG:
+            grown.append(_grown(now, h))
+        paired = now.withColumn("ahead", _ahead(h))
+        split = paired.where("size > 1").groupBy("rank", "ahead").agg(F.count(F.lit(1)).alias("size"), F.min(_place()).alias("least"))
+        split = materialise(ordered(split, ["rank", "ahead"]))
         if split.where("ahead > 0").isEmpty():
-            return now, rounds
+            break
+        # Members of a rank before this part of it.
+        begins = split.groupBy("rank").agg(F.min("start").alias("begin"))
+        split = split.join(begins, "rank").select("rank", "ahead", (F.col("start") - F.col("begin")).alias("before"), F.col("size").alias("n"), "least")
         h *= 2
         shared = F.least(F.lit(h), F.col("left"))
         now = materialise(
             paired.join(split, ["rank", "ahead"], "left")
             .withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
             .withColumn("size", F.coalesce("n", F.lit(1)))
-            .withColumn("common", F.when(_earlier("least"), shared).otherwise(F.col("common")))
-            .withColumn("first", F.when(_earlier("least"), F.col("least")).otherwise(F.col("first")))
-            .select("doc", "pos", "line_no", "chars", "rank", "size", "left", "first", "common"),
-            rows,
+            .withColumn("common", F.when(_later(), shared).otherwise(F.col("common")))
+            .withColumn("first", F.when(_later(), F.col("least")).otherwise(F.col("first")))
+            .drop("ahead", "before", "n", "least")
         )
-        rounds.append(now)
+    columns = ["doc", "copy", "pos", "line_no", "chars", "rank", "common", "first"]
+    found = now.select(columns)
+    for rows in done[1:]:  # segments of one line are not among them
+        found = found.union(rows.select(columns))
+    for more in grown:
+        found = found.join(more, ["doc", "copy", "pos"], "left").withColumn("common", F.greatest("common", F.coalesce("more", F.lit(0)))).drop("more")
+    return found
 
 
 def runs(docs: DataFrame) -> DataFrame:
-    """doc, start, stop (positions), the earlier copy's doc and pos, and the line numbers that the
-    run covers: the maximal repeated runs that are not the first of their kind."""
-    now, rounds = doubled(suffixes(docs))
-    by_doc = Window.partitionBy("doc").orderBy("pos")
-    # The line with which a run from here on reaches STRONG; as no line is empty, STRONG lines do.
-    # Where a gap comes first, the counted place lies behind it, so behind the end of the run.
-    taken = F.aggregate(
-        F.collect_list("chars").over(by_doc.rowsBetween(Window.currentRow, STRONG - 1)),
-        F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n")),
-        lambda t, c: F.when(t["chars"] >= STRONG, t).otherwise(F.struct((t["chars"] + c).alias("chars"), (t["n"] + 1).alias("n"))),
-    )
-    seen = now.withColumn("taken", taken).withColumn("solid", F.when(F.col("taken.chars") >= STRONG, F.col("pos") + F.col("taken.n") - 1)).drop("taken")
-    same = (F.lag("pos").over(by_doc) == F.col("pos") - 1) & (F.lag("first.doc").over(by_doc) == F.col("first.doc")) & (F.lag("first.pos").over(by_doc) == F.col("first.pos") - 1)
-    later = seen.withColumn("head", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("chain", F.sum("head").over(by_doc)).where("first is not null")
-    chains = materialise(
-        later.groupBy("doc", "chain").agg(F.min("pos").alias("start"), F.max("pos").alias("last"), F.min_by("solid", "pos").alias("solid"), F.min_by("first", "pos").alias("copy"), F.max_by("common", "pos").alias("common"), F.max_by("left", "pos").alias("left"))
-    )
-    # The last start of a chain shares ``common`` lines, a power of two, or all that is left.
-    open_ends = chains.where("common > 1 and common < left").select("doc", "chain", F.col("last").alias("a"), F.col("copy.doc").alias("other"), (F.col("copy.pos") + F.col("last") - F.col("start")).alias("b"), "common", F.col("common").alias("top"))
-    rows = chains.count()
-    for level in range(len(rounds) - 2, -1, -1):
-        ranks = rounds[level].select(F.col("doc").alias("d"), F.col("pos").alias("p"), F.col("rank").alias("r"), F.col("left").alias("l"))
-        mine, theirs = ranks.alias("mine"), ranks.alias("theirs")
-        looked = open_ends.alias("x").join(mine, (F.col("x.doc") == F.col("mine.d")) & (F.col("x.a") + F.col("x.common") == F.col("mine.p")), "left").join(
-            theirs, (F.col("x.other") == F.col("theirs.d")) & (F.col("x.b") + F.col("x.common") == F.col("theirs.p")), "left"
-        )
-        equal = (F.col("x.top") > (1 << level)) & F.coalesce(F.col("mine.r") == F.col("theirs.r"), F.lit(False))
-        open_ends = materialise(looked.select("x.doc", "x.chain", "x.a", "x.other", "x.b", (F.col("x.common") + F.when(equal, F.least(F.lit(1 << level), F.col("mine.l"))).otherwise(0)).alias("common"), "x.top"), rows)
-    found = chains.join(open_ends.select("doc", "chain", F.col("common").alias("more")), ["doc", "chain"], "left")
-    found = found.withColumn("stop", F.col("last") + F.coalesce("more", "common")).where("solid < stop")
-    return found.select("doc", "start", "stop", F.col("copy.doc").alias("copy_doc"), F.col("copy.pos").alias("copy_pos"))
+    """doc, copy, start and stop (positions) of later copies of repeated runs, of ``docs`` (doc,
+    copy, text): from each start, as far as an earlier copy goes (see ``common``)."""
+    start = suffixes(docs)
+    single = start.where((F.col("seg") == 1) & (F.col("chars") >= STRONG) & _later()).select("doc", "copy", F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop"))
+    found = doubled(start.where("seg > 1"))
+    # Characters of the first lines, as far as they count; a line is never empty.
+    ahead = F.collect_list("chars").over(_by_doc().rowsBetween(Window.currentRow, STRONG - 1))
+    length = F.aggregate(F.slice(ahead, F.lit(1), F.greatest("common", F.lit(1)).cast("int")), F.lit(0), lambda n, c: n + c)
+    strong = found.withColumn("length", length).where((F.col("common") > 0) & (F.col("length") >= STRONG))
+    return single.union(strong.select("doc", "copy", F.col("pos").alias("start"), (F.col("pos") + F.col("common")).alias("stop")))
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc and its runs, merged where they overlap, as sorted positions [start, stop)."""
-    by_doc = Window.partitionBy("doc").orderBy("start", "stop")
+    """doc, copy and its runs, merged where they overlap, as sorted positions [start, stop)."""
+    by_doc = Window.partitionBy("doc", "copy").orderBy("start", "stop")
     reach = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     marked = runs(docs).withColumn("new", F.when(F.coalesce(reach <= F.col("start"), F.lit(True)), 1).otherwise(0)).withColumn("island", F.sum("new").over(by_doc))
-    islands = marked.groupBy("doc", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    return islands.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
+    islands = marked.groupBy("doc", "copy", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return islands.groupBy("doc", "copy").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
 
 
 def _solid() -> Column:
@@ -155,9 +166,11 @@ def _cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with __lines, __runs (by line number), __covered (lines that runs take, without
     blank ones) and __kept, the lines that stay."""
     covered = F.aggregate("runs", F.lit(0), lambda n, r: n + (r["stop"] - r["start"]).cast("int"))
-    marks = materialise(spans(docs).withColumn("covered", covered)).withColumnsRenamed({"doc": "__doc", "runs": "__runs", "covered": "__covered"})
+    named = told_apart(docs, "__doc", "__copy")
+    marks = materialise(spans(named.select(F.col("__doc").alias("doc"), F.col("__copy").alias("copy"), "text")).withColumn("covered", covered))
+    marks = marks.withColumnsRenamed({"doc": "__doc", "copy": "__copy", "runs": "__runs", "covered": "__covered"})
     # The texts go through the join whole; only their lines' numbers are looked up.
-    full = docs.withColumn("__doc", _id(docs)).join(marks.hint("shuffle_hash"), "__doc", "left").withColumn("__lines", F.split("text", "\n", -1))
+    full = named.join(marks.hint("shuffle_hash"), ["__doc", "__copy"], "left").withColumn("__lines", F.split("text", "\n", -1))
     full = full.withColumn("__solid", F.when(F.col("__runs").isNotNull(), _solid()))
     by_line = F.transform("__runs", lambda r: F.struct(F.get("__solid", r["start"]).alias("start"), (F.get("__solid", (r["stop"] - 1).cast("int")) + 1).alias("stop")))
     full = full.withColumn("__runs", by_line).withColumn("__n", F.size("__runs"))

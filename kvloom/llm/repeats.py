@@ -40,8 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvloom.llm.identity import told_apart
 from kvloom.llm.shipping import materialise, ship
-from kvloom.llm.textops import NULL_ID, Chunk, Slices, chunks, ids, mix, signed, slice_hash, words
+from kvloom.llm.textops import Chunk, Slices, chunks, ids, mix, signed, slice_hash, words
 
 SPLIT = 20_000
 
@@ -351,13 +352,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     """doc (a null id is the smallest), copy, text, and the other columns as one, so that no name
     of theirs can clash with one used inside."""
     rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("hash"), "text", rest.alias("rest"))
-    texts = named.select("doc", "hash").distinct()
-    several = materialise(texts.join(texts.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc"), "doc"))
-    if several.isEmpty():
-        return named.select("doc", F.lit(0).cast("long").alias("copy"), "text", "rest")
-    told = named.join(several.withColumn("copy", F.col("hash")), ["doc", "hash"], "left")
-    return told.select("doc", F.coalesce("copy", F.lit(0).cast("long")).alias("copy"), "text", "rest")
+    named = told_apart(docs.select("doc_id", "text", rest.alias("rest")))
+    return named.select("doc", "copy", "text", "rest")
 
 
 def with_text(batch: pa.RecordBatch, texts: list, columns: list[str]) -> pa.RecordBatch:

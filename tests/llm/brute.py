@@ -37,33 +37,25 @@ def removed_words(rows, window=50):
 
 
 def removed_lines(rows, strong):
-    """doc -> (n_lines, n_removed, hash).  From each line on: the copy is the earliest start in the
-    smallest doubling interval that has an earlier start; the run is what both share."""
+    """doc -> (n_lines, n_removed, hash).  From each line on, the longest stretch of lines (blank
+    ones apart) that an earlier start also has goes, with blank lines inside, if its lines have
+    ``strong`` characters in all."""
     rows = sorted(rows, key=lambda r: _key(r[0]))
     lines = [[(i, x) for i, x in enumerate(t.split("\n")) if x.strip(" \t\r\x0b\x0c")] if t else [] for _, t in rows]
-    where = defaultdict(list)
-    for d, own in enumerate(lines):
-        for p, (_, x) in enumerate(own):
-            where[x].append((d, p))
-    left = lambda own, p: next((k for k in range(len(own) - p) if len(where[own[p + k][1]]) < 2), len(own) - p)
+    starts = defaultdict(list)
     out = {}
     for d, own in enumerate(lines):
         gone = set()
         for p, (line_no, x) in enumerate(own):
-            mine, shared = left(own, p), []
-            for e, q in where[x]:
-                if (e, q) >= (d, p):
-                    break
+            longest = 0
+            for e, q in starts[x]:
                 k = 0
                 while p + k < len(own) and q + k < len(lines[e]) and own[p + k][1] == lines[e][q + k][1]:
                     k += 1
-                shared.append((k, k == mine == left(lines[e], q)))
-            best, h = 0, 1
-            while shared and h <= 2 * mine:
-                hit = [k for k, ended in shared if k >= h or ended]
-                best, h = (hit[0] if hit else best), 2 * h
-            if any(len(own[p + k][1]) >= strong for k in range(best)):
-                gone.update(range(line_no, own[p + best - 1][0] + 1))
+                longest = max(longest, k)
+            if sum(len(own[p + k][1]) for k in range(longest)) >= strong:
+                gone.update(range(line_no, own[p + longest - 1][0] + 1))
+            starts[x].append((d, p))
         text = rows[d][1] or ""
         all_lines = text.split("\n") if text else []
         out[rows[d][0]] = (len(all_lines), len(gone), hashlib.sha256("\n".join(x for i, x in enumerate(all_lines) if i not in gone).encode()).hexdigest())

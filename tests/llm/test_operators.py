@@ -122,15 +122,22 @@ def test_line_dedup(odd, small):
     assert by_id(line_dedup.digest(small), *columns) == brute.removed_lines(pairs(small), line_dedup.STRONG)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_line_dedup_dense_runs(spark, seed):
     r = random.Random(seed)
-    kinds = ["a" * 70, "b" * 70, "c", "d", "e", "f" * 61, "", "g"]
-    rows = [(i, "\n".join(r.choice(kinds) for _ in range(r.randint(0, 9)))) for i in range(25)]
+    kinds = ["a" * 7, "b" * 4, "c", "d", "e", "f" * 3, "", "g", "h", "i" * 9]
+    rows = [(i, "\n".join(r.choice(kinds[seed % 3 :]) for _ in range(r.randint(0, 12)))) for i in range(60)]
     got = by_id(line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")), "n_lines", "n_removed", "kept_sha256")
     assert got == brute.removed_lines(rows, line_dedup.STRONG)
 
 
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    a, b, c = ("\n".join(f"line {i} of {x}" for i in range(5)) for x in "abc")
+    rows = [(None, a), (None, "own\n" + b), (1, b), (5, b), (5, c), (5, c), (9, a)]
+    kept = [(r["doc_id"] or 0, r["text"]) for r in line_dedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == sorted([(0, a), (0, "own\n" + b), (1, ""), (5, ""), (5, c), (5, c), (9, "")])
+
+
 def test_line_dedup_judges_the_run(spark):
     menu = ["Home", "News", "Help"]  # none alone reaches the bound
     passage = [f"Line {i} of a passage" for i in range(12)]
