@@ -56,10 +56,13 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc", "copy", "pos", F.col("x.line_no").alias("line_no"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"), F.least(F.length(line), F.lit(STRONG)).alias("chars"))
 
 
-def ordered(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """``groups`` with ``start``: how many members (``size``) groups with smaller keys have."""
-    parts = groups.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = materialise(groups.repartitionByRange(int(parts), *keys).withColumn("part", F.spark_partition_id()))
+def ranged(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``groups`` dealt by ranges of their keys, as a table with the number of the range (``part``)."""
+    return materialise(groups.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
+
+
+def ordered(dealt: DataFrame, keys: list[str]) -> DataFrame:
+    """``ranged`` groups with ``start``: how many members (``size``) groups with smaller keys have."""
     sums = dealt.groupBy("part").agg(F.sum("size").alias("n"))  # a row for each partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("sum"))
@@ -72,13 +75,14 @@ def suffixes(docs: DataFrame) -> DataFrame:
     ``least`` (the group's first place), ``left`` (repeated lines from here to a gap) and ``seg``
     (lines of the segment)."""
     rows = materialise(lines(docs))
-    found = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size"), F.min(_place()).alias("least")).where("size > 1")
-    ids = ordered(found, ["h1", "h2"]).select("h1", "h2", (F.col("start") + 1).alias("rank"), "size", "least")
+    found = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    ids = ordered(ranged(found, ["h1", "h2"]), ["h1", "h2"]).select("h1", "h2", (F.col("start") + 1).alias("rank"), "size")
     named = rows.join(ids, ["h1", "h2"]).drop("h1", "h2").repartition("doc", "copy").dropDuplicates(["doc", "copy", "pos"])
     segment = Window.partitionBy("doc", "copy", "gap")
     named = named.withColumn("gap", F.col("pos") - F.row_number().over(_by_doc()))
     named = named.withColumn("left", F.max("pos").over(segment) - F.col("pos") + 1).withColumn("seg", F.count(F.lit(1)).over(segment))
-    return materialise(named.drop("gap"))
+    named = materialise(named.drop("gap"))
+    return named.join(named.groupBy("rank").agg(F.min(_place()).alias("least")), "rank")
 
 
 def _ahead(h: int) -> Column:
@@ -109,9 +113,10 @@ def doubled(start: DataFrame) -> DataFrame:
             grown.append(_grown(now, h))
         paired = now.withColumn("ahead", _ahead(h))
         split = paired.where("size > 1").groupBy("rank", "ahead").agg(F.count(F.lit(1)).alias("size"), F.min(_place()).alias("least"))
-        split = materialise(ordered(split, ["rank", "ahead"]))
+        split = ranged(split, ["rank", "ahead"])
         if split.where("ahead > 0").isEmpty():
             break
+        split = ordered(split, ["rank", "ahead"])
         # Members of a rank before this part of it.
         begins = split.groupBy("rank").agg(F.min("start").alias("begin"))
         split = split.join(begins, "rank").select("rank", "ahead", (F.col("start") - F.col("begin")).alias("before"), F.col("size").alias("n"), "least")
@@ -137,7 +142,7 @@ def doubled(start: DataFrame) -> DataFrame:
 def runs(docs: DataFrame) -> DataFrame:
     """doc, copy, start and stop (positions) of later copies of repeated runs, of ``docs`` (doc,
     copy, text): from each start, as far as an earlier copy goes (see ``common``)."""
-    start = suffixes(docs)
+    start = materialise(suffixes(docs))
     single = start.where((F.col("seg") == 1) & (F.col("chars") >= STRONG) & _later()).select("doc", "copy", F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop"))
     found = doubled(start.where("seg > 1"))
     # Characters of the first lines, as far as they count; a line is never empty.
