@@ -46,8 +46,8 @@ def composite_hash(*columns: Column, collations: tuple[str, ...] = ()) -> Column
 def regexp_match(pattern: Column | str, text: Column) -> Column:
     """1 if the whole text matches, 0 if not, null for nulls."""
     if isinstance(pattern, str):
-        return text.rlike(f"^(?:{pattern})$").cast("int")
-    return F.rlike(text, F.concat(F.lit("^(?:"), pattern, F.lit(")$"))).cast("int")
+        return text.rlike(rf"\A(?:{pattern})\z").cast("int")
+    return F.rlike(text, F.concat(F.lit(r"\A(?:"), pattern, F.lit(r")\z"))).cast("int")
 
 
 def glob(text: Column, pattern: str) -> Column:

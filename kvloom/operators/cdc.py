@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvloom.functions.scalar import has_bits, json_object
+from kvloom.shipping import kept
 
 
 def changed(columns: list[str], old: str = "old", new: str = "new") -> Column:
@@ -27,16 +28,20 @@ def tracker(before: DataFrame, after: DataFrame, keys: list[str], tracked: list[
     return out.select(*keys, "_op", *([json_object(**values).alias("extend_field")] if extend else []))
 
 
-def with_cursor(rows: DataFrame, last: int, order: list[str]) -> DataFrame:
-    """Cursors ``last + 1, …`` in the given order.  Ranks are made from a range partitioning and
-    per-partition counts, so the rows are never gathered."""
-    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(spread, *order).sortWithinPartitions(*order)
-    numbered = dealt.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row for each partition
+def running_sum(rows: DataFrame, value: Column, order: list[str]) -> DataFrame:
+    """``rows`` with ``__sum``, the sum of ``value`` up to and with each row in the given order.
+    Sums within range partitions, plus the sums of those before, so the rows are never gathered."""
+    dealt = kept(rows.withColumn("__value", value).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sums = dealt.groupBy("__part").agg(F.sum("__value").alias("__n"))  # a row for each partition
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return numbered.join(F.broadcast(starts), "__part").withColumn("cursor", F.lit(last) + 1 + F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+    starts = sums.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return dealt.withColumn("__sum", F.sum("__value").over(inside)).join(F.broadcast(starts), "__part").withColumn("__sum", F.col("__sum") + F.col("__start")).drop("__part", "__start", "__value")
+
+
+def with_cursor(rows: DataFrame, last: int, order: list[str]) -> DataFrame:
+    """Cursors ``last + 1, …`` in the given order."""
+    return running_sum(rows, F.lit(1).cast("long"), order).withColumn("cursor", F.lit(last) + F.col("__sum")).drop("__sum")
 
 
 def clean(log: DataFrame, cursor: int) -> DataFrame:
@@ -65,7 +70,9 @@ def after_limit(limited: DataFrame, begin, end, time: str = "timestamp") -> Data
 
 def packets(rows: DataFrame, size: Column, most: int, order: list[str], groups: list[str] = ()) -> DataFrame:
     """Packet numbers: rows in order, a new packet each time ``most`` bytes are full.  With
-    ``groups`` (a stream each) the running sum is taken in parallel."""
+    ``groups`` (a stream each) the running sum is taken in each."""
+    if not groups:
+        return running_sum(rows, size, order).withColumn("packet", F.floor((F.col("__sum") - size) / most).cast("long")).drop("__sum")
     running = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("packet", F.floor((F.sum(size).over(running) - size) / most).cast("long"))
 
@@ -88,8 +95,7 @@ def recent_queries(marks: DataFrame, keys: list[str], keep: int) -> DataFrame:
 
 def coalesced(events: DataFrame, key: str, order: str) -> DataFrame:
     """Unread events of one key become one, the last."""
-    last = Window.partitionBy(key).orderBy(F.desc(order))
-    return events.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+    return events.groupBy(key).agg(F.max_by(F.struct(*events.columns), order).alias("__row")).select("__row.*")
 
 
 def triggered(op: str, old: Column, new: Column) -> Column:

@@ -1,9 +1,8 @@
 """Synchronising with a cloud table: upload kinds, merge strategies, row locks, key columns.
 
 A strategy is a table of conditions read from the top; ``merge``, ``force_pull`` and ``force_push``
-give the operation for a row with these columns: in_local, cloud_deleted, local_deleted, archived,
-locked, local_gid, cloud_gid, local_time, cloud_time, flag, local_version, cloud_version,
-local_sharing, cloud_sharing, log_differs, need_asset, compensated, device, cloud_win, other_user.
+give the operation for a row with the columns of ``INPUTS``.  Empty and missing versions, shares,
+devices and row ids are alike.
 """
 
 from __future__ import annotations
@@ -13,15 +12,15 @@ from pyspark.sql import functions as F
 
 from kvloom.functions.scalar import composite_hash, has_bits
 
-_DELETE, _LOCAL, _CLOUD_WRITE = 0x1, 0x2, 0x100
+_DELETE, _LOCAL, _COMPENSATED, _CLOUD_WRITE, _LOGIN_USER = 0x1, 0x2, 0x10, 0x100, 0x2000
 #: Rows whose times differ by less are the same record (one second in 100 ns ticks).
 SAME_RECORD_TICKS = 10_000_000
 UNLOCK, UNLOCKING, LOCK, LOCK_CHANGE = range(4)
 
 INPUTS = {
-    "in_local": "boolean", "cloud_deleted": "boolean", "local_deleted": "boolean", "archived": "boolean", "locked": "boolean", "local_gid": "string", "cloud_gid": "string",
-    "local_time": "long", "cloud_time": "long", "flag": "long", "local_version": "string", "cloud_version": "string", "local_sharing": "string", "cloud_sharing": "string",
-    "log_differs": "boolean", "need_asset": "boolean", "compensated": "boolean", "device": "string", "cloud_win": "boolean", "other_user": "boolean",
+    "in_local": "boolean", "cloud_deleted": "boolean", "local_deleted": "boolean", "archived": "boolean", "status": "long", "local_gid": "string", "cloud_gid": "string",
+    "local_time": "long", "cloud_time": "long", "local_write": "long", "cloud_write": "long", "flag": "long", "cloud_flag": "long", "local_version": "string", "cloud_version": "string",
+    "local_sharing": "string", "cloud_sharing": "string", "need_asset": "boolean", "device": "string", "origin": "string", "cloud_win": "boolean",
 }
 
 
@@ -52,30 +51,54 @@ def _first(*rules: tuple[Column, Column | str], last: Column | str) -> Column:
     return chain.otherwise(lit(last))
 
 
-def _update(ignore: bool) -> str:
-    return "NOT_HANDLE" if ignore else "UPDATE"
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
+
+
+def _bits(name: str, bit: int) -> Column:
+    return has_bits(F.coalesce(F.col(name), F.lit(0)), bit)
+
+
+def _locked() -> Column:
+    return F.col("status").isin(LOCK, LOCK_CHANGE)
+
+
+def _differs() -> Column:
+    """Whether the log has to take over the cloud's share or version."""
+    return (_text("local_sharing") != _text("cloud_sharing")) | (_text("local_version") != _text("cloud_version"))
+
+
+def _ignored(ignore: bool) -> Column:
+    """Whether a row of this device is kept against the cloud's; one that was deleted by another
+    is not."""
+    return F.lit(ignore) & (_bits("flag", _LOCAL) | ~F.col("local_deleted")) & (_text("origin") == "") & (_text("device") == "")
+
+
+def _update(ignore: bool) -> Column:
+    return F.when(F.coalesce(_ignored(ignore), F.lit(False)), "NOT_HANDLE").otherwise("UPDATE")
 
 
 def merge(*, kv: bool = False, ignore: bool = False) -> Column:
     """Cloud merge: the later side wins.  ``ignore`` keeps this device's rows."""
     c = F.col
     cd, ld, ar = c("cloud_deleted"), c("local_deleted"), c("archived")
-    gid = F.coalesce(c("local_gid"), F.lit("")) != ""
-    differs = c("log_differs")
-    newer = (c("local_time") > c("cloud_time")) & (~has_bits(c("flag"), _CLOUD_WRITE) if kv else has_bits(c("flag"), _LOCAL))
+    gid = _text("local_gid") != ""
+    newer = (c("local_time") > c("cloud_time")) & (~_bits("flag", _CLOUD_WRITE) if kv else _bits("flag", _LOCAL))
     cloud_wins = _first((cd & ld, "UPDATE_TIMESTAMP"), (cd, "DELETE"), (ld, "INSERT"), last=_update(ignore))
     absent = _first((cd, "NOT_HANDLE"), last="INSERT")
     without_gid = _first((cd, "NOT_HANDLE"), *([] if kv else [(ld, "INSERT")]), last="ONLY_UPDATE_GID")
-    with_gid = _first((cd, "CLEAR_GID"), (differs, "ONLY_UPDATE_GID"), last="NOT_HANDLE")
+    with_gid = _first((cd, "CLEAR_GID"), (_differs(), "ONLY_UPDATE_GID"), last="NOT_HANDLE")
     deleted = _first((ld, "UPDATE_TIMESTAMP"), (ar, "CLEAR_GID"), last="DELETE")
-    only_gid = (c("local_time") == c("cloud_time")) & (~gid | ~c("local_sharing").eqNullSafe(c("cloud_sharing"))) & ~c("need_asset")
-    same = c("local_version").eqNullSafe(c("cloud_version")) & (F.abs(c("local_time") - c("cloud_time")) < SAME_RECORD_TICKS) & ~c("compensated")
-    theirs = F.lit(kv) & c("other_user") & (c("local_time") > c("cloud_time"))
+    at_once = (c("local_time") == c("cloud_time")) & c("local_write").eqNullSafe(c("cloud_write"))
+    only_gid = at_once & (~gid | (_text("local_sharing") != _text("cloud_sharing"))) & ~c("need_asset")
+    known = (_text("local_version") != "") & (_text("local_version") == _text("cloud_version"))
+    same = ~c("need_asset") & known & (F.abs(c("local_time") - c("cloud_time")) < SAME_RECORD_TICKS) & ~_bits("flag", _COMPENSATED) & (F.coalesce(c("status"), F.lit(UNLOCK)) == UNLOCK)
+    theirs = F.lit(kv) & ~_bits("flag", _LOCAL) & ~_bits("cloud_flag", _LOGIN_USER) & (c("local_time") > c("cloud_time"))
     return _first(
         (c("cloud_win"), cloud_wins),
-        (c("locked"), "LOCKED_NOT_HANDLE"),
+        (_locked(), "LOCKED_NOT_HANDLE"),
         (~c("in_local"), absent),
-        (F.lit(ignore) & has_bits(c("flag"), _LOCAL), "NOT_HANDLE"),
+        (_ignored(ignore), "NOT_HANDLE"),
         (newer & ~gid, without_gid),
         (newer, with_gid),
         (cd, deleted),
@@ -90,10 +113,10 @@ def force_pull(*, ignore: bool = False) -> Column:
     """The cloud's side always wins."""
     c = F.col
     cd, ld, ar, here = c("cloud_deleted"), c("local_deleted"), c("archived"), c("in_local")
-    gid = F.coalesce(c("local_gid"), F.lit("")) != ""
+    gid = _text("local_gid") != ""
     return _first(
-        (c("locked"), "LOCKED_NOT_HANDLE"),
-        (here & F.lit(ignore) & has_bits(c("flag"), _LOCAL), "NOT_HANDLE"),
+        (_locked(), "LOCKED_NOT_HANDLE"),
+        (here & _ignored(ignore), "NOT_HANDLE"),
         (here & cd & ~ld & ar, "CLEAR_GID"),
         (here & cd & ~ld, "DELETE"),
         (here & cd, "UPDATE_TIMESTAMP"),
@@ -109,16 +132,16 @@ def force_pull(*, ignore: bool = False) -> Column:
 def force_push() -> Column:
     """The local side always wins."""
     c = F.col
-    gid = F.coalesce(c("local_gid"), F.lit("")) != ""
+    gid = _text("local_gid") != ""
     return _first(
-        (c("locked"), "LOCKED_NOT_HANDLE"),
+        (_locked(), "LOCKED_NOT_HANDLE"),
         (~c("in_local") | c("archived"), "NOT_HANDLE"),
         (~gid & (c("cloud_deleted") | c("local_deleted")), "NOT_HANDLE"),
         (~gid, "ONLY_UPDATE_GID"),
         (c("cloud_deleted"), "CLEAR_GID"),
         ((c("device") == "cloud") & (c("local_time") == c("cloud_time")), "SET_CLOUD_FORCE_PUSH_FLAG_ONE"),
         (c("device") == "cloud", "SET_CLOUD_FORCE_PUSH_FLAG_ZERO"),
-        (c("log_differs"), "ONLY_UPDATE_GID"),
+        (_differs(), "ONLY_UPDATE_GID"),
         last="NOT_HANDLE",
     )
 
@@ -128,7 +151,7 @@ def custom(rows: DataFrame, handler, base: Column) -> DataFrame:
     a ``decision`` column: UPSERT, DELETE, NOT_HANDLE or INTEGRATE) says."""
     decided = handler(rows.withColumn("base", base))
     chosen = F.col("decision")
-    op = F.when(F.col("locked") | ~F.col("in_local"), F.col("base")).when(chosen == "UPSERT", "UPDATE").when(chosen == "INTEGRATE", "INTEGRATE").when(chosen == "DELETE", "DELETE").otherwise("NOT_HANDLE")
+    op = F.when(F.coalesce(_locked(), F.lit(False)) | ~F.col("in_local"), F.col("base")).when(chosen == "UPSERT", "UPDATE").when(chosen == "INTEGRATE", "INTEGRATE").when(chosen == "DELETE", "DELETE").otherwise("NOT_HANDLE")
     return decided.withColumn("op", op).drop("base", "decision")
 
 

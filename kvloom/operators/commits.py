@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvloom.errors import Conflict, NotFound
@@ -17,13 +17,17 @@ from kvloom.functions.scalar import has_bits
 ADD, DELETE, CLEAR, COMMITTED = 1, 2, 4, 8
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    """The last row of each key."""
+    return rows.groupBy("hash_key").agg(F.max_by(F.struct(*rows.columns), F.struct("version", "timestamp")).alias("__row")).select("__row.*")
+
+
 def snapshot(rows: DataFrame, version: int) -> DataFrame:
     """Live entries at a version: the newest committed row of each key not before the last clear."""
     done = rows.where(has_bits(F.col("oper_flag"), COMMITTED) & (F.col("version") <= version))
     cleared = done.where(has_bits(F.col("oper_flag"), CLEAR)).agg(F.coalesce(F.max("version"), F.lit(-1)).alias("cleared"))
     kept = done.where(~has_bits(F.col("oper_flag"), CLEAR)).crossJoin(F.broadcast(cleared)).where("version > cleared").drop("cleared")
-    newest = Window.partitionBy("hash_key").orderBy(F.desc("version"), F.desc("timestamp"))
-    return kept.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n").where(~has_bits(F.col("oper_flag"), DELETE))
+    return _newest(kept).where(~has_bits(F.col("oper_flag"), DELETE))
 
 
 def snapshot_get(rows: DataFrame, version: int, key: bytes) -> DataFrame:
@@ -48,8 +52,7 @@ def to_merge(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 def vacuum(rows: DataFrame, oldest: int) -> DataFrame:
     """Without rows that no version from ``oldest`` on can see."""
-    newest = Window.partitionBy("hash_key").orderBy(F.desc("version"), F.desc("timestamp"))
-    old = rows.where(F.col("version") <= oldest).withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
+    old = _newest(rows.where(F.col("version") <= oldest))
     return old.unionByName(rows.where(F.col("version") > oldest))
 
 

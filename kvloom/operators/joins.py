@@ -26,7 +26,9 @@ def members(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
 
 
 def strangers(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
-    return rows.join(of.select(key), key, "left_anti")
+    """Rows whose key is not among those of ``of``.  A null key is left out, as by NOT IN; nulls of
+    ``of``, which the keys of a log never are, are not looked at."""
+    return rows.where(F.col(key).isNotNull()).join(of.select(key), key, "left_anti")
 
 
 def missed(changed: DataFrame, matching: DataFrame, key: str = "hash_key", value: str = "value") -> DataFrame:

@@ -6,7 +6,7 @@ one that arrived first (``arrival``, where present).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvloom.functions.scalar import has_bits
@@ -16,8 +16,8 @@ _DELETE, _LOCAL, _MISS = 0x1, 0x2, "miss_query"
 
 def latest(batch: DataFrame, key: str = "hash_key", time: str = "w_timestamp") -> DataFrame:
     """One row for each key: the latest, the first to arrive at equal times."""
-    order = [F.col(time).desc()] + ([F.col("arrival").asc()] if "arrival" in batch.columns else [])
-    return batch.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
+    order = F.struct(time, *([-F.col("arrival")] if "arrival" in batch.columns else []))
+    return batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("__row")).select("__row.*")
 
 
 def classify(existing: DataFrame, incoming: DataFrame, *, local: bool = False, force: Column | None = None) -> DataFrame:

@@ -253,9 +253,14 @@ def key_trim(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", store.trimmed(F.concat(F.lit("  "), F.col("c_name"), F.lit(" "))).alias("key"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n_faults")
+@query(f"SELECT 'hash' AS fault, count(*) AS n FROM {_KV} WHERE c_custkey % 50 = 1 AND flag & 1 = 0 UNION ALL SELECT 'duplicate', CAST(1 AS BIGINT) FROM {_KV} WHERE c_custkey % 50 = 1 HAVING count(*) > 1 UNION ALL SELECT 'twin', count(*) FROM {_KV} WHERE c_custkey % 70 = 3 AND c_custkey % 50 <> 1")
 def integrity_check(spark, sf_dir):
-    return store.integrity(_kv(spark, sf_dir)).agg(F.count("*").alias("n_faults"))
+    rows = _kv(spark, sf_dir)
+    k = F.col("c_custkey")
+    broken = rows.withColumn("hash_key", F.when(k % 50 == 1, scalar.hash_key(F.lit("x").cast("binary"))).otherwise(F.col("hash_key")))
+    twins = broken.where((k % 70 == 3) & (k % 50 != 1))
+    faults = store.integrity(broken.union(twins)).withColumn("fault", F.when((F.col("fault") == "duplicate") & (F.col("hash_key") != scalar.hash_key(F.lit("x").cast("binary"))), "twin").otherwise(F.col("fault")))
+    return faults.groupBy("fault").agg(F.count("*").alias("n"))
 
 
 # --- JSON values -------------------------------------------------------------------------------
@@ -289,9 +294,9 @@ def schema_amend(spark, sf_dir):
     return done.select("event_id", "a.k", "a.level", "n_problems")
 
 
-@query("SELECT event_id, '{\"user_id\":' || user_id || ',\"tag\":null}' AS body FROM events WHERE event_id < 500")
+@query("SELECT event_id, '{\"user_id\":' || user_id || ',\"tag\":null}' AS body FROM events")
 def json_object(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_id < 500").select("event_id", scalar.json_object(user_id=F.col("user_id"), tag=F.lit(None).cast("string")).alias("body"))
+    return table(spark, sf_dir, "events").select("event_id", scalar.json_object(user_id=F.col("user_id"), tag=F.lit(None).cast("string")).alias("body"))
 
 
 # --- merging -----------------------------------------------------------------------------------
@@ -385,40 +390,48 @@ def filter_after_limit(spark, sf_dir):
 
 # --- cloud -------------------------------------------------------------------------------------
 
-_SIDE = """(SELECT o_orderkey AS k, o_orderkey % 5 <> 0 AS in_local, o_orderkey % 7 = 0 AS cloud_deleted, o_orderkey % 11 = 0 AS local_deleted, o_orderkey % 13 = 0 AS archived, o_orderkey % 17 = 0 AS locked,
-  CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'g' END AS gid, o_orderkey % 10 AS lt, o_custkey % 10 AS ct, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END AS flag, o_orderkey % 19 = 0 AS differs,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'cloud' ELSE '' END AS device, o_orderkey % 23 = 0 AS cloud_win, o_orderkey % 3 AS lv, o_custkey % 3 AS cv FROM orders)"""
+_SIDE = """(SELECT *, share <> cshare OR lv <> cv AS differs FROM (SELECT o_orderkey AS k, o_orderkey % 5 <> 0 AS in_local, o_orderkey % 7 = 0 AS cloud_deleted, o_orderkey % 11 = 0 AS local_deleted,
+  o_orderkey % 13 = 0 AS archived, CASE WHEN o_orderkey % 17 < 4 THEN o_orderkey % 17 ELSE 0 END AS status, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'g' END AS gid,
+  o_orderkey % 10 * 4000000 AS lt, o_custkey % 10 * 4000000 AS ct, o_orderkey % 2 AS lw, o_custkey % 2 AS cw, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN o_orderkey % 9 = 0 THEN 16 ELSE 0 END AS flag,
+  CASE WHEN o_custkey % 4 = 0 THEN 8192 ELSE 0 END AS cflag, CASE o_orderkey % 4 WHEN 0 THEN '' ELSE CAST(o_orderkey % 4 AS VARCHAR) END AS lv, CASE o_custkey % 4 WHEN 0 THEN '' ELSE CAST(o_custkey % 4 AS VARCHAR) END AS cv,
+  CASE WHEN o_orderkey % 19 = 0 THEN 's' ELSE '' END AS share, '' AS cshare, o_orderkey % 29 = 0 AS need_asset, CASE WHEN o_custkey % 8 < 4 THEN 'cloud' ELSE '' END AS device, o_orderkey % 23 = 0 AS cloud_win FROM orders))"""
 
 
 def _sides(spark, sf_dir) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    off = F.lit(False)
+    version = lambda x: F.when(x % 4 != 0, (x % 4).cast("string"))
     return table(spark, sf_dir, "orders").select(
-        k.alias("k"), (k % 5 != 0).alias("in_local"), (k % 7 == 0).alias("cloud_deleted"), (k % 11 == 0).alias("local_deleted"), (k % 13 == 0).alias("archived"), (k % 17 == 0).alias("locked"),
-        F.when(k % 3 == 0, "").otherwise("g").alias("local_gid"), (k % 10).alias("local_time"), (c % 10).alias("cloud_time"), F.when(k % 2 == 0, 2).otherwise(0).alias("flag"),
-        (k % 3).cast("string").alias("local_version"), (c % 3).cast("string").alias("cloud_version"), F.lit("").alias("local_sharing"), F.lit("").alias("cloud_sharing"), (k % 19 == 0).alias("log_differs"),
-        off.alias("need_asset"), off.alias("compensated"), F.when(k % 4 == 0, "cloud").otherwise("").alias("device"), (k % 23 == 0).alias("cloud_win"), off.alias("other_user"),
+        k.alias("k"), (k % 5 != 0).alias("in_local"), (k % 7 == 0).alias("cloud_deleted"), (k % 11 == 0).alias("local_deleted"), (k % 13 == 0).alias("archived"), F.when(k % 17 < 4, k % 17).otherwise(0).alias("status"),
+        F.when(k % 3 == 0, "").otherwise("g").alias("local_gid"), F.lit("g").alias("cloud_gid"), (k % 10 * 4000000).alias("local_time"), (c % 10 * 4000000).alias("cloud_time"), (k % 2).alias("local_write"), (c % 2).alias("cloud_write"),
+        (F.when(k % 2 == 0, 2).otherwise(0) + F.when(k % 9 == 0, 16).otherwise(0)).alias("flag"), F.when(c % 4 == 0, 8192).otherwise(0).alias("cloud_flag"), version(k).alias("local_version"), version(c).alias("cloud_version"),
+        F.when(k % 19 == 0, "s").alias("local_sharing"), F.lit("").alias("cloud_sharing"), (k % 29 == 0).alias("need_asset"), F.when(c % 8 < 4, "cloud").otherwise("").alias("device"), F.lit("").alias("origin"), (k % 23 == 0).alias("cloud_win"),
     )
 
 
-@query(
-    f"""SELECT k, CASE
-  WHEN cloud_win THEN CASE WHEN cloud_deleted AND local_deleted THEN 'UPDATE_TIMESTAMP' WHEN cloud_deleted THEN 'DELETE' WHEN local_deleted THEN 'INSERT' ELSE 'UPDATE' END
-  WHEN locked THEN 'LOCKED_NOT_HANDLE'
+def _merge_sql(newer: str, kv: bool, ignore: bool) -> str:
+    kept = "((flag & 2 = 2 OR NOT local_deleted) AND device = '')" if ignore else "FALSE"
+    update = f"CASE WHEN {kept} THEN 'NOT_HANDLE' ELSE 'UPDATE' END"
+    return f"""CASE
+  WHEN cloud_win THEN CASE WHEN cloud_deleted AND local_deleted THEN 'UPDATE_TIMESTAMP' WHEN cloud_deleted THEN 'DELETE' WHEN local_deleted THEN 'INSERT' ELSE {update} END
+  WHEN status >= 2 THEN 'LOCKED_NOT_HANDLE'
   WHEN NOT in_local THEN CASE WHEN cloud_deleted THEN 'NOT_HANDLE' ELSE 'INSERT' END
-  WHEN lt > ct AND flag = 2 AND gid = '' THEN CASE WHEN cloud_deleted THEN 'NOT_HANDLE' WHEN local_deleted THEN 'INSERT' ELSE 'ONLY_UPDATE_GID' END
-  WHEN lt > ct AND flag = 2 THEN CASE WHEN cloud_deleted THEN 'CLEAR_GID' WHEN differs THEN 'ONLY_UPDATE_GID' ELSE 'NOT_HANDLE' END
+  WHEN {kept} THEN 'NOT_HANDLE'
+  WHEN lt > ct AND {newer} AND gid = '' THEN CASE WHEN cloud_deleted THEN 'NOT_HANDLE' WHEN local_deleted AND NOT {kv} THEN 'INSERT' ELSE 'ONLY_UPDATE_GID' END
+  WHEN lt > ct AND {newer} THEN CASE WHEN cloud_deleted THEN 'CLEAR_GID' WHEN differs THEN 'ONLY_UPDATE_GID' ELSE 'NOT_HANDLE' END
   WHEN cloud_deleted THEN CASE WHEN local_deleted THEN 'UPDATE_TIMESTAMP' WHEN archived THEN 'CLEAR_GID' ELSE 'DELETE' END
   WHEN local_deleted OR archived THEN 'INSERT'
-  WHEN lt = ct AND gid = '' THEN 'ONLY_UPDATE_GID'
-  WHEN lv = cv THEN 'NOT_HANDLE' ELSE 'UPDATE' END AS op FROM {_SIDE}"""
-)
+  WHEN lt = ct AND lw = cw AND (gid = '' OR share <> cshare) AND NOT need_asset THEN 'ONLY_UPDATE_GID'
+  WHEN NOT need_asset AND lv <> '' AND lv = cv AND abs(lt - ct) < 10000000 AND flag & 16 = 0 AND status = 0 THEN 'NOT_HANDLE'
+  WHEN {kv} AND flag & 2 = 0 AND cflag & 8192 = 0 AND lt > ct THEN 'NOT_HANDLE' ELSE {update} END"""
+
+
+@query(f"SELECT k, {_merge_sql('flag & 2 = 2', False, False)} AS op, {_merge_sql('flag & 256 = 0', True, False)} AS kv_op, {_merge_sql('flag & 2 = 2', False, True)} AS own_op FROM {_SIDE}")
 def cloud_merge(spark, sf_dir):
-    return _sides(spark, sf_dir).select("k", cloud.merge().alias("op"))
+    return _sides(spark, sf_dir).select("k", cloud.merge().alias("op"), cloud.merge(kv=True).alias("kv_op"), cloud.merge(ignore=True).alias("own_op"))
 
 
 @query(
-    f"""SELECT k, CASE WHEN locked THEN 'LOCKED_NOT_HANDLE'
+    f"""SELECT k, CASE WHEN status >= 2 THEN 'LOCKED_NOT_HANDLE'
   WHEN in_local THEN CASE WHEN cloud_deleted AND NOT local_deleted THEN CASE WHEN archived THEN 'CLEAR_GID' ELSE 'DELETE' END WHEN cloud_deleted THEN 'UPDATE_TIMESTAMP' WHEN local_deleted OR archived THEN 'INSERT' ELSE 'UPDATE' END
   WHEN cloud_deleted THEN CASE WHEN gid <> '' THEN 'DELETE' ELSE 'NOT_HANDLE' END WHEN gid = '' THEN 'INSERT' ELSE 'UPDATE' END AS op FROM {_SIDE}"""
 )
@@ -427,7 +440,7 @@ def force_pull(spark, sf_dir):
 
 
 @query(
-    f"""SELECT k, CASE WHEN locked THEN 'LOCKED_NOT_HANDLE' WHEN NOT in_local OR archived THEN 'NOT_HANDLE'
+    f"""SELECT k, CASE WHEN status >= 2 THEN 'LOCKED_NOT_HANDLE' WHEN NOT in_local OR archived THEN 'NOT_HANDLE'
   WHEN gid = '' THEN CASE WHEN cloud_deleted OR local_deleted THEN 'NOT_HANDLE' ELSE 'ONLY_UPDATE_GID' END
   WHEN cloud_deleted THEN 'CLEAR_GID' WHEN device = 'cloud' THEN CASE WHEN lt = ct THEN 'SET_CLOUD_FORCE_PUSH_FLAG_ONE' ELSE 'SET_CLOUD_FORCE_PUSH_FLAG_ZERO' END
   WHEN differs THEN 'ONLY_UPDATE_GID' ELSE 'NOT_HANDLE' END AS op FROM {_SIDE}"""
@@ -436,6 +449,39 @@ def force_push(spark, sf_dir):
     return _sides(spark, sf_dir).select("k", cloud.force_push().alias("op"))
 
 
+@query(f"SELECT k, CASE WHEN status >= 2 THEN 'LOCKED_NOT_HANDLE' WHEN NOT in_local THEN CASE WHEN cloud_deleted THEN 'NOT_HANDLE' ELSE 'INSERT' END WHEN lt < ct THEN 'UPDATE' WHEN lt = ct THEN 'INTEGRATE' ELSE 'DELETE' END AS op FROM {_SIDE} WHERE NOT cloud_win")
+def custom_strategy(spark, sf_dir):
+    decide = lambda rows: rows.withColumn("decision", F.expr("CASE WHEN local_time < cloud_time THEN 'UPSERT' WHEN local_time = cloud_time THEN 'INTEGRATE' ELSE 'DELETE' END"))
+    return cloud.custom(_sides(spark, sf_dir).where("NOT cloud_win"), decide, cloud.merge()).select("k", "op")
+
+
+@query(f"SELECT c_custkey FROM {_KV} WHERE device = 'd1' AND c_custkey % 6 = 1")
+def compensated_rows(spark, sf_dir):
+    log = _kv(spark, sf_dir).withColumn("userid", F.col("device")).withColumn("flag", F.when(F.col("c_custkey") % 6 == 1, 16).otherwise(0))
+    return _kv(spark, sf_dir).join(cloud.compensated(log, "d1"), "hash_key").select("c_custkey")
+
+
+@query(f"SELECT c_custkey, CAST(7 AS BIGINT) AS timestamp, CAST(CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE flag END AS BIGINT) AS flag FROM {_KV}")
+def reset_uploads(spark, sf_dir):
+    rows = _kv(spark, sf_dir).withColumn("flag", F.when(F.col("c_custkey") % 4 == 0, 0x402).otherwise(F.col("flag")))
+    return cloud.reset_uploads(rows, 7, time=True, uploads=True).select("c_custkey", F.col("timestamp").cast("long").alias("timestamp"), F.col("flag").cast("long").alias("flag"))
+
+
+@query("SELECT o_orderkey, sha256(o_orderstatus) AS dup, sha256(CAST(o_orderkey AS VARCHAR)) AS prime FROM orders")
+def row_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("o_orderkey_text", F.col("o_orderkey").cast("string"))
+    columns = [{"name": "o_orderkey_text", "primary": True}, {"name": "o_orderstatus"}]
+    marked = [columns[0], {**columns[1], "dup_check": True}]
+    return rows.select("o_orderkey", cloud.row_key(marked, rows).alias("dup"), cloud.row_key(columns, rows).alias("prime"))
+
+
+@query(f"SELECT c.c_custkey, CAST(coalesce(k.flag, -1) AS BIGINT) AS flag FROM customer c LEFT JOIN (SELECT * FROM {_KV} WHERE device = 'd1') k ON c.c_custkey = k.c_custkey")
+def user_log(spark, sf_dir):
+    live = table(spark, sf_dir, "customer").select("c_custkey", scalar.hash_key(F.col("c_name").cast("binary")).alias("hash_key"))
+    log = _kv(spark, sf_dir).select("hash_key", "flag", F.col("device").alias("userid"))
+    return cloud.with_log(live, log, "d1").select("c_custkey", F.coalesce("flag", F.lit(-1)).cast("long").alias("flag"))
+
+
 _LOG = f"(SELECT c_custkey, timestamp, flag | CASE WHEN c_custkey % 4 = 1 THEN 2 ELSE 0 END | CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 0 END AS flag, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'g' END AS gid FROM {_KV})"
 _UPLOAD = f"(SELECT c_custkey, CASE WHEN flag & 1 = 1 THEN 'DELETE' WHEN gid = '' THEN 'INSERT' ELSE 'UPDATE' END AS mode FROM {_LOG} WHERE timestamp > 20000 AND flag & 2 = 2 AND NOT (flag & 1 = 1 AND gid = ''))"
 
@@ -649,9 +695,9 @@ def pk_hash(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", scalar.hash_hex(F.col("c_name")).alias("hash"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, sha256(unhex(sha256(CAST(l_orderkey AS VARCHAR))) || unhex(sha256(CAST(l_linenumber AS VARCHAR)))) AS hash FROM lineitem WHERE l_orderkey < 2000")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, sha256(unhex(sha256(CAST(l_orderkey AS VARCHAR))) || unhex(sha256(CAST(l_linenumber AS VARCHAR)))) AS hash FROM lineitem")
 def composite_pk_hash(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", scalar.composite_hash(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("hash"))
 
 
@@ -687,15 +733,16 @@ def token_index(spark, sf_dir):
     return text.postings(table(spark, sf_dir, "part"), "p_partkey", "p_name").groupBy("token").agg(F.count("*").alias("n_parts"), F.sum("tf").alias("n"))
 
 
-_POST = "(SELECT conv_id, token, count(*) AS tf FROM (SELECT conv_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS token FROM (SELECT conv_id, string_agg(text, ' ') AS text FROM conversations WHERE conv_id < 40 GROUP BY conv_id)) GROUP BY ALL)"
+_POST = "SELECT conv_id, token, count(*) AS tf FROM (SELECT conv_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS token FROM conversations) GROUP BY ALL"
 
 
 @query(
-    f"""SELECT conv_id, token, tf, df, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, token) AS rank FROM (
-  SELECT p.conv_id, p.token, p.tf, d.df, round(p.tf * ln((SELECT count(DISTINCT conv_id) FROM {_POST}) / d.df), 6) AS score FROM {_POST} p JOIN (SELECT token, count(*) AS df FROM {_POST} GROUP BY token) d ON p.token = d.token)) WHERE rank <= 3"""
+    f"""WITH post AS MATERIALIZED ({_POST}), freq AS (SELECT token, count(*) AS df FROM post GROUP BY token), total AS (SELECT count(DISTINCT conv_id) AS n FROM conversations)
+SELECT conv_id, token, tf, df, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, token) AS rank FROM (
+  SELECT p.conv_id, p.token, p.tf, d.df, round(p.tf * ln(total.n / d.df), 6) AS score FROM post p JOIN freq d ON p.token = d.token CROSS JOIN total)) WHERE rank <= 3"""
 )
 def tfidf_top(spark, sf_dir):
-    docs = table(spark, sf_dir, "conversations").where("conv_id < 40").groupBy("conv_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    docs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
     return text.keywords(docs, "conv_id", "text", 3)
 
 
@@ -736,6 +783,114 @@ def window_running(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("nth"), F.round(F.sum("value").over(w), 2).alias("running"))
 
 
+# --- more of the log, of merging and of plain Spark ------------------------------------------------
+
+
+@query(f"SELECT n.k FROM {_NEW} n LEFT JOIN {_OLD} o ON o.k = n.k AND o.k % 4 = 0 WHERE o.k IS NULL AND n.k % 5 <> 0")
+def ignore_policy(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    old = old.withColumn("flag", F.when(F.col("hash_key") % 4 == 0, 2).otherwise(0))
+    new = new.withColumn("ori_device", F.when(F.col("hash_key") % 5 == 0, "").otherwise("d"))
+    return merge.ignore_own(old, new).select(F.col("hash_key").alias("k"))
+
+
+@query(f"SELECT o.k FROM {_OLD} o LEFT JOIN {_NEW} n ON o.k = n.k AND n.k % 7 = 0 WHERE n.k IS NULL")
+def miss_erase(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    return merge.erase_missed(old, new.withColumn("miss_query", F.col("hash_key") % 7 == 0))[0].select(F.col("hash_key").alias("k"))
+
+
+@query(f"SELECT c_custkey, device FROM {_KV} WHERE device <> 'd2'")
+def device_rows_delete(spark, sf_dir):
+    return merge.remove_device(_kv(spark, sf_dir), "d2").select("c_custkey", "device")
+
+
+@query(f"SELECT c_custkey, CASE WHEN device = 'd1' THEN 'moved' ELSE device END AS device, CAST(CASE WHEN device = 'd1' THEN flag | 4 ELSE flag END AS BIGINT) AS flag FROM {_KV}")
+def log_update(spark, sf_dir):
+    rows = _kv(spark, sf_dir)
+    return merge.update_log(rows, rows["device"] == "d1", device=F.lit("moved"), flag=rows["flag"].bitwiseOR(F.lit(4))).select("c_custkey", "device", F.col("flag").cast("long").alias("flag"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT (c_custkey % 3 = 0 AND c_custkey <= 100)")
+def purge_logically_deleted(spark, sf_dir):
+    log = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("cursor"), F.when(F.col("c_custkey") % 3 == 0, 8).otherwise(0).alias("flag"))
+    return merge.purge_deleted(log, 100).select("c_custkey")
+
+
+@query("SELECT c_custkey AS cursor FROM customer WHERE c_custkey > 50")
+def tracker_clean(spark, sf_dir):
+    return cdc.clean(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cursor")), 50)
+
+
+@query("SELECT c_custkey AS cursor, CAST(CASE WHEN c_custkey <= 60 THEN 33 ELSE 1 END AS INTEGER) AS flag FROM customer")
+def knowledge_flags(spark, sf_dir):
+    return cdc.flag_known(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cursor"), F.lit(1).alias("flag")), 60, 32)
+
+
+@query("SELECT user_id, max(w) AS watermark FROM (SELECT user_id, event_id % 1000 AS w FROM events UNION ALL SELECT user_id, event_id % 700 FROM events WHERE event_type = 'click') GROUP BY user_id")
+def watermark_merge(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    fresh = events.where("event_type = 'click'").select("user_id", (F.col("event_id") % 700).alias("watermark"))
+    return cdc.merge_watermarks(events.select("user_id", (F.col("event_id") % 1000).alias("watermark")), fresh, ["user_id"])
+
+
+@query("SELECT user_id, query_id FROM (SELECT user_id, event_id AS query_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 97 DESC, event_id) AS n FROM events) WHERE n <= 3")
+def watermark_lru(spark, sf_dir):
+    marks = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("query_id"), (F.col("event_id") % 97).alias("last_query_time"))
+    return cdc.recent_queries(marks, ["user_id"], 3).select("user_id", "query_id")
+
+
+@query("SELECT event_id, CAST(floor((sum(octet_length(encode(props))) OVER (ORDER BY event_id) - octet_length(encode(props))) / 4000) AS BIGINT) AS packet FROM events")
+def sync_packets_one_stream(spark, sf_dir):
+    return cdc.packets(table(spark, sf_dir, "events"), F.octet_length("props"), 4000, ["event_id"]).select("event_id", "packet")
+
+
+@query("SELECT DISTINCT device FROM " + _KV)
+def device_list(spark, sf_dir):
+    return _kv(spark, sf_dir).select("device").distinct()
+
+
+@query(f"SELECT max(version) AS newest, max(CASE WHEN f = 9 THEN version END) AS newest_live FROM {_VER}")
+def max_versions(spark, sf_dir):
+    live = F.when(~scalar.has_bits(F.col("oper_flag"), commits.DELETE), F.col("version"))
+    return _version_rows(spark, sf_dir).agg(F.max("version").alias("newest"), F.max(live).alias("newest_live"))
+
+
+@query("SELECT c_mktsegment, CAST(coalesce(c_nationkey, -1) AS BIGINT) AS c_nationkey, count(*) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)")
+def cube_counts(spark, sf_dir):
+    return table(spark, sf_dir, "customer").cube("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n")).withColumn("c_nationkey", F.coalesce("c_nationkey", F.lit(-1)).cast("long"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS bucket FROM events GROUP BY ALL")
+def tumbling_windows(spark, sf_dir):
+    by = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return by.select("event_type", "n", F.unix_timestamp("w.start").alias("bucket"))
+
+
+@query("SELECT user_id, count(*) AS n, CAST(floor(epoch(min(ts))) AS BIGINT) AS begun FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
+def session_windows(spark, sf_dir):
+    by = table(spark, sf_dir, "events").groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return by.select("user_id", "n", F.unix_timestamp("w.start").alias("begun"))
+
+
+@query("SELECT e.event_id, CAST(coalesce(min(n.n_nationkey), -1) AS BIGINT) AS low, count(n.n_nationkey) AS n FROM events e LEFT JOIN nation n ON e.value >= n.n_nationkey * 10 AND e.value < n.n_nationkey * 10 + 25 GROUP BY e.event_id")
+def range_join(spark, sf_dir):
+    events, nation = table(spark, sf_dir, "events"), table(spark, sf_dir, "nation")
+    inside = (events["value"] >= nation["n_nationkey"] * 10) & (events["value"] < nation["n_nationkey"] * 10 + 25)
+    return events.join(nation, inside, "left").groupBy("event_id").agg(F.coalesce(F.min("n_nationkey"), F.lit(-1)).cast("long").alias("low"), F.count("n_nationkey").alias("n"))
+
+
+@query("SELECT p_name AS name FROM part WHERE p_size < 5 UNION SELECT s_name FROM supplier")
+def union_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "part").where("p_size < 5").select(F.col("p_name").alias("name")).union(table(spark, sf_dir, "supplier").select("s_name")).distinct()
+
+
+@query("SELECT p_partkey, CAST(i AS INTEGER) AS at, sha256(substr(p_name, CAST(i * 4 + 1 AS BIGINT), 4)) AS slice_hash FROM part, unnest(range(CAST(greatest(ceil(length(p_name) / 4.0), 1) AS BIGINT))) AS t(i)")
+def value_slices(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("hash_key"), F.col("p_name").cast("binary").alias("value"))
+    return commits.slices(rows, 4)[0].withColumnRenamed("hash_key", "p_partkey")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: a checked query over events, ordered and limited."""
     q = Query().equal_to("event_type", "click").and_().greater_than("value", 10).order_by("value").limit(20)

@@ -1,12 +1,13 @@
-"""Makes this package importable on executors."""
+"""Makes this package importable on executors, and keeps tables between steps."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "kvloom.shipped"
 
@@ -26,3 +27,15 @@ def ship(spark: SparkSession) -> None:
                     pack.write(full, os.path.join("kvloom", os.path.relpath(full, root)))
     spark.sparkContext.addPyFile(path)
     spark.conf.set(_SHIPPED, spark.sparkContext.applicationId)
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """``frame`` as a table in the folder that all executors share (``spark.checkpoint.dir``), so
+    that two readers see the same rows in the same partitions."""
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:  # set here in sessions without that setting only
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kvloom-checkpoints-"))
+    path = f"{context.getCheckpointDir()}/kvloom-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -1,13 +1,18 @@
 """Sources and sinks: the supplied tables, and stores kept as versioned snapshots.
 
-A store is a folder of Parquet snapshots, ``v=<n>``, and a pointer file that names the current one.
-A commit writes a new snapshot and then moves the pointer, so readers see all of it or nothing, and
-a reader that pinned a version keeps it.  Files go through Hadoop's file system API, so any store
+A store is a folder of Parquet snapshots with names of their own, and of claims, ``_commits/<n>``,
+that name the snapshot of a version.  A commit writes its snapshot and then creates the next claim,
+which fails if another writer made it; the highest whole claim is current.  So readers see all of a
+commit or nothing, a crash leaves at most an unnamed snapshot or an empty claim, which is passed
+over, and a reader that pinned a version keeps it.  Files go through Hadoop's file system API, so any store
 that Spark reads will do.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from kvloom.errors import Conflict, NotFound
@@ -34,30 +39,38 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self):
-        return self._path(f"{self.path}/CURRENT")
+    def _claim(self, version: int):
+        return self._path(f"{self.path}/_commits/{version}")
 
-    def version(self) -> int:
-        """The current version, 0 if nothing was committed."""
-        if not self._fs.exists(self._pointer()):
-            return 0
-        stream = self._fs.open(self._pointer())
+    def _claims(self) -> list[int]:
+        folder = self._path(f"{self.path}/_commits")
+        if not self._fs.exists(folder):
+            return []
+        return sorted(int(n) for n in (s.getPath().getName() for s in self._fs.listStatus(folder)) if n.isdigit())
+
+    def _snapshot(self, version: int) -> str | None:
+        """The folder that a claim names; None if its writer did not get that far."""
+        stream = self._fs.open(self._claim(version))
         try:
-            return int(stream.readUTF())
+            return stream.readUTF()
+        except Py4JJavaError:  # the end of the file
+            return None
         finally:
             stream.close()
 
+    def version(self) -> int:
+        """The current version, 0 if nothing was committed."""
+        return next((v for v in reversed(self._claims()) if self._snapshot(v)), 0)
+
     def versions(self) -> list[int]:
-        if not self._fs.exists(self._path(self.path)):
-            return []
-        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(self.path)))
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and int(n[2:]) <= self.version())
+        return [v for v in self._claims() if self._snapshot(v)]
 
     def read(self, version: int | None = None) -> DataFrame:
         at = self.version() if version is None else version
-        if at not in self.versions():
+        name = self._snapshot(at) if at in self._claims() else None
+        if name is None:
             raise NotFound(f"no version {at}")
-        return self.spark.read.parquet(f"{self.path}/v={at}")
+        return self.spark.read.parquet(f"{self.path}/{name}")
 
     def commit(self, rows: DataFrame, base: int | None = None) -> int:
         """Writes the next version.  ``base``, the version that ``rows`` were made from, must still
@@ -65,15 +78,17 @@ class Store:
         now = self.version()
         if base is not None and base != now:
             raise Conflict(f"version {now} was committed meanwhile")
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={now + 1}")
-        staged = self._path(f"{self.path}/CURRENT.next")
-        stream = self._fs.create(staged, True)
-        stream.writeUTF(str(now + 1))
+        following = max(self._claims(), default=0) + 1
+        name = f"data-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        try:
+            stream = self._fs.create(self._claim(following), False)
+        except Py4JJavaError as error:
+            self._fs.delete(self._path(f"{self.path}/{name}"), True)
+            raise Conflict(f"version {following} was committed meanwhile") from error
+        stream.writeUTF(name)
         stream.close()
-        self._fs.delete(self._pointer(), False)
-        if not self._fs.rename(staged, self._pointer()):
-            raise Conflict("the pointer could not be moved")
-        return now + 1
+        return following
 
     def transaction(self) -> Transaction:
         return Transaction(self)
@@ -88,7 +103,9 @@ class Store:
 
     def vacuum(self, keep: int) -> None:
         for v in self.versions()[:-keep]:
-            self._fs.delete(self._path(f"{self.path}/v={v}"), True)
+            name = self._snapshot(v)
+            self._fs.delete(self._claim(v), False)
+            self._fs.delete(self._path(f"{self.path}/{name}"), True)
 
 
 class Transaction:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from kvloom.errors import Conflict, KvError, LimitError, NotFound, NotSupported
@@ -236,6 +237,15 @@ def test_cloud_tagging(spark):
     assert tagged == {"g1": "UPDATE", "g2": "UPDATE", "g3": "INSERT"}
 
 
+def test_cloud_merge_of_same_records(spark):
+    base = {"in_local": True, "cloud_deleted": False, "local_deleted": False, "archived": False, "status": 0, "local_gid": "g", "cloud_gid": "g", "local_time": 5, "cloud_time": 6, "local_write": 5, "cloud_write": 6, "flag": 0, "cloud_flag": 0, "local_version": "v", "cloud_version": "v", "local_sharing": "", "cloud_sharing": None, "need_asset": False, "device": "d", "origin": "", "cloud_win": False}
+    cases = [({}, "NOT_HANDLE"), ({"local_version": None, "cloud_version": None}, "UPDATE"), ({"need_asset": True}, "UPDATE"), ({"status": 1}, "UPDATE"), ({"status": 2}, "LOCKED_NOT_HANDLE"), ({"flag": 0x10}, "UPDATE")]
+    cases += [({"local_gid": "", "cloud_time": 5, "cloud_write": 5, "cloud_version": "w"}, "ONLY_UPDATE_GID"), ({"local_gid": "", "cloud_time": 5, "cloud_version": "w"}, "UPDATE")]
+    rows = [{"n": i, **base, **change} for i, (change, _) in enumerate(cases)]
+    got = spark.createDataFrame(rows, "n int, " + ", ".join(f"{k} {t}" for k, t in cloud.INPUTS.items())).select("n", cloud.merge().alias("op"), cloud.merge(kv=True).alias("kv"))
+    assert [r["op"] for r in got.orderBy("n").collect()] == [op for _, op in cases]
+
+
 def test_foreign_keys_with_a_cycle():
     keys = [joins.ForeignKey("a", "k", "b", "k"), joins.ForeignKey("b", "k", "a", "k"), joins.ForeignKey("e", "f", "a", "k")]
     assert [s[0] for s in joins.path(keys, "e", "b")] == ["a", "b"]
@@ -281,6 +291,15 @@ def test_sql_gate(spark):
     with pytest.raises(LimitError):
         sqlgate.execute(spark, "select 1", ["x"] * 101)
     assert sqlgate.fits(spark.range(10))
+    spark.range(5).createOrReplaceTempView("gate_rows")
+    assert sqlgate.remote_query(spark, "with a as (select id from gate_rows) select count(*) as n from a where id in (select max(id) from gate_rows)").first()["n"] == 1
+    path = f"parquet.`{SMALL}/region.parquet`"
+    for statement in (f"select * from {path}", f"select 1 where exists (select * from {path})", f"with a as (select * from {path}) select * from a", "select java_method('java.lang.System', 'getProperty', 'user.home')", "select id from gate_rows where reflect('java.lang.System', 'nanoTime') > 0", "select * from range(3)"):
+        with pytest.raises(NotSupported):
+            sqlgate.remote_query(spark, statement)
+    spark.range(300_000).createOrReplaceTempView("gate_rows")
+    with pytest.raises(LimitError):
+        sqlgate.remote_query(spark, "select id, id as other from gate_rows")
 
 
 def test_versioned_store(spark, tmp_path):
@@ -302,6 +321,18 @@ def test_versioned_store(spark, tmp_path):
         where.read(1)
 
 
+def test_store_after_a_crash_and_with_two_writers(spark, tmp_path, monkeypatch):
+    where, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    assert where.commit(spark.range(3)) == 1
+    (tmp_path / "s" / "_commits" / "2").write_bytes(b"")  # a writer that died after its claim
+    assert where.version() == 1 and where.read().count() == 3
+    assert where.commit(spark.range(4), 1) == 3 and where.versions() == [1, 3]
+    monkeypatch.setattr(other, "_claims", lambda: [1, 2])  # looked before the last commit
+    with pytest.raises(Conflict):
+        other.commit(spark.range(9))
+    assert where.read().count() == 4
+
+
 def test_streaming_merge(spark, tmp_path):
     incoming, seen = str(tmp_path / "in"), []
     where = Store(spark, str(tmp_path / "store"))
