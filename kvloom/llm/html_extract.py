@@ -34,12 +34,12 @@ EPOCHS = 6
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|textarea|template|svg|iframe|math|object|noframes)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|title|textarea|template|svg|iframe|noframes|annotation)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>"
     r"|<[/!?a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr data picture source input".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr data picture source input math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot mover munder munderover mstyle semantics mspace".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag here ends open elements of these kinds first, up to their container.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -64,7 +64,7 @@ class Node:
         if found is None:
             names = " ".join("".join(m) for m in _NAMES.findall(attrs)).lower()
             mark = _MARK.search(attrs)
-            own = {f"tag {tag}", *(f"name {w}" for w in _WORDS.findall(names))}
+            own = {f"tag {tag}", *(f"name {w}" for w in _WORDS.findall(names)), *(f"piece {w[i : i + 5]}" for w in _WORDS.findall(names) for i in range(max(1, len(w) - 4)))}
             found = Node(tag, self.features | own, self.main if mark is None else mark[1] == "1", self)
             if len(self.children) < 5000 and len(attrs) <= 4000:
                 self.children[(tag, attrs)] = found
@@ -241,7 +241,7 @@ def train(pages: list[list[tuple[list[str], int]]], epochs: int = EPOCHS, rate:
 
 _MAIN = frozenset({"tag article", "tag main"})
 _ASIDE = frozenset(
-    [f"tag {t}" for t in "nav aside footer header form button select noscript menu dialog figcaption".split()]
+    [f"tag {t}" for t in "nav aside footer header form button select noscript menu dialog".split()]
     + [f"name {w}" for w in "ad ads advert advertisement banner sponsored promo comment comments sidebar footer header menu nav navigation related share social cookie notice newsletter subscribe breadcrumb breadcrumbs popup modal login search widget".split()]
 )
 
@@ -265,27 +265,36 @@ def layouts(articles: list[list[str]], seed: int = 3) -> Iterator[str]:
     def rest(kind: str) -> str:
         text = html.escape(some(4, 40))
         return {
-            "menu": f'<{(t := pick("nav", "div"))} class="{pick("menu", "nav", "navigation", "topnav")}"><ul>{links(r.randint(3, 8))}</ul></{t}>',
+            "menu": f'<{(t := pick("nav", "div"))} class="{pick("menu", "nav", "navigation", "topnav", "navbar", "breadcrumbs", "pagination")}"><ul>{links(r.randint(3, 8))}</ul></{t}>',
+            "bare": pick(f"<div>{html.escape(some(1, 3))}</div>", f"<p>{html.escape(some(2, 6))}</p>", f'<p><a href="/x">{html.escape(some(1, 3))}</a></p>'),
+            "share": f'<{(t := pick("div", "ul"))} class="{pick("share", "sharebar", "share-buttons", "social", "social-links", "sharing", "follow-us", "socialmedia")}">{pick(html.escape(some(1, 3)), links(r.randint(2, 4)))}</{t}>',
             "header": f'<{(t := pick("header", "div"))} class="{pick("header", "site-header", "masthead")}"><div>{text}</div><p>{html.escape(some(2, 6))}</p></{t}>',
             "footer": f'<{(t := pick("footer", "div"))} class="{pick("footer", "site-footer", "bottom")}"><p>&copy; {text}</p></{t}>',
-            "sidebar": f'<{(t := pick("aside", "div"))} class="{pick("sidebar", "related", "widget", "aside")}"><h3>{html.escape(some(1, 3))}</h3><ul>{links(5)}</ul><p>{text}</p></{t}>',
-            "notice": f'<div class="{pick("cookie", "notice", "banner", "popup", "alert")}"><p>{text}.</p><button>{html.escape(some(1, 2))}</button></div>',
-            "advert": f'<div class="{pick("ad", "advert", "ads", "sponsored", "promo")}">{pick("<p>", "")}{text}.</div>',
+            "sidebar": f'<{(t := pick("aside", "div"))} class="{pick("sidebar", "related", "widget", "aside", "recommended", "trending", "side", "rail")}"><h3>{html.escape(some(1, 3))}</h3><ul>{links(5)}</ul><p>{text}</p></{t}>',
+            "noscript": f"<noscript><p>{text}.</p></noscript>",
+            "notice": f'<div class="{pick("cookie", "cookies", "consent", "gdpr", "notice", "banner", "popup", "alert", "newsletter", "subscribe", "paywall")}"><p>{text}.</p><button>{html.escape(some(1, 2))}</button></div>',
+            "advert": f'<div class="{pick("ad", "advert", "ads", "sponsored", "promo", "adslot", "ad-container", "advertising", "sponsor", "banner")}">{pick("<p>", "")}{text}.</div>',
             "form": f'<form action="/s"><p>{html.escape(some(2, 9))}</p><label>{html.escape(some(1, 3))}</label><input name="q"><button>{html.escape(some(1, 2))}</button></form>',
-            "comments": f'<{(t := pick("section", "div"))} {pick("id", "class")}="{pick("comments", "comment-list", "replies", "responses")}"><h3>{html.escape(some(1, 2))}</h3>' + "".join(f'<div class="comment"><p>{html.escape(some(5, 40))}.</p></div>' for _ in range(r.randint(1, 4))) + f"</{t}>",
+            "comments": f'<{(t := pick("section", "div"))} {pick("id", "class")}="{pick("comments", "comment-list", "replies", "responses", "disqus-thread", "user-feedback", "discussion", "reader-comments", "feedback", "commentsection")}"><h3>{html.escape(some(1, 2))}</h3>' + "".join(f'<div class="{pick("comment", "reply", "item", "post")}">{pick("<p>", "")}{html.escape(some(5, 40))}.</div>' for _ in range(r.randint(1, 4))) + f"</{t}>",
         }[kind]
 
     for paragraphs in articles:
         inner = [f"<{(t := pick('p', 'p', 'p', 'div', 'blockquote', 'li'))}>{html.escape(p)}</{t}>" for p in paragraphs[1:]]
+        if r.random() < 0.3:  # figures and tables are part of an article, short as their texts are
+            cells = "".join(f"<td>{html.escape(some(1, 3))}</td>" for _ in range(4))
+            inner.insert(r.randint(0, len(inner)), pick(f"<table><tr>{cells}</tr><tr>{cells}</tr></table>", f'<figure><img src="i"><figcaption>{html.escape(some(3, 9))}</figcaption></figure>', f"<h2>{html.escape(some(2, 5))}</h2>", f"<ul><li>{html.escape(some(2, 9))}</li><li>{html.escape(some(2, 9))}</li></ul>"))
         for _ in range(r.randint(0, 2)):
-            inner.insert(r.randint(0, len(inner)), f'<div data-main="0">{rest(pick("advert", "sidebar", "notice", "form"))}</div>')
+            inner.insert(r.randint(0, len(inner)), f'<div data-main="0">{rest(pick("advert", "sidebar", "notice", "form", "share"))}</div>')
         body = f"<h1>{html.escape(paragraphs[0])}</h1>" + "".join(inner)
         body += pick("", f'<div data-main="0">{rest("comments")}</div>')
         shell = pick("article", "main", "div", "div", "section", "td")
         name = pick("", ' class="content"', ' id="content"', ' class="post entry"', ' class="article-body"', ' id="main"', ' role="main"', ' class="story text"')
         main = f'<{shell}{name} data-main="1">{body}</{shell}>'
-        before = [rest(k) for k in ("header", "menu", "notice", "advert", "form") if r.random() < 0.6]
-        after = [rest(k) for k in ("sidebar", "comments", "advert", "form", "menu") if r.random() < 0.5] + [rest("footer")]
+        before = [rest(k) for k in ("header", "menu", "notice", "advert", "form", "share", "bare") if r.random() < 0.5]
+        after = [rest(k) for k in ("sidebar", "comments", "advert", "form", "menu", "share", "bare", "noscript") if r.random() < 0.5] + [rest("footer")]
+        if shell == "td":
+            before, after = ([f"<td>{x if r.random() < 0.7 else html.escape(some(1, 6))}</td>" for x in part] for part in (before, after))
+            before[:1], after = [f"<table><tr>{''.join(before[:1])}"], [*after, "</tr></table>"]
         wrap = pick("", "div", 'div class="wrap"', 'div id="page"')
         page = "".join(before) + main + "".join(after)
         yield f"<html><body>{f'<{wrap}>{page}</div>' if wrap else page}</body></html>"

@@ -315,6 +315,57 @@ def test_html_other_layouts(spark):
     assert right / total > 0.95
 
 
+def _written_pages():
+    """Pages written by hand: (html, main text)."""
+    a, b, c = "The river rose by two metres during the night.", "Families in the lower streets were brought to the school, where they can stay for some days.", "Repairs will take until spring, the mayor said."
+    body = f"<h1>River floods the old town</h1><p>{a}</p><p>{b}</p><p>{c}</p>"
+    text = f"River floods the old town {a} {b} {c}"
+    menu = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul>'
+    nav, foot = f"<nav>{menu}</nav>", "<footer><p>&copy; 2024 The Paper. All rights reserved.</p></footer>"
+    ad = "<p>Buy cheap pills now and save half.</p>"
+    comment = "<div><b>Tom</b><p>I do not agree with this at all, it was badly planned.</p></div>"
+    pages = [
+        f"<body>{nav}<article>{body}</article>{foot}",
+        f"<body>{nav}<main>{body}</main><aside>{menu}</aside>{foot}",
+        f'<body><div class="navbar">{menu}</div><div class="article-content">{body}</div><div class="footer"><p>Contact us</p></div>',
+        f'<body><div id="top-menu">{menu}</div><div id="story">{body}</div><div id="disqus-thread">{comment}{comment}</div>',
+        f'<body>{nav}<article>{body}<div class="disqus-thread">{comment}</div></article>{foot}',
+        f'<body>{nav}<article>{body}<section id="user-feedback">{comment}</section></article>{foot}',
+        f'<body>{nav}<article>{body}<div class="sharebar"><a href="f">Facebook</a> <a href="t">Twitter</a></div></article>{foot}',
+        f'<body>{nav}<article><h1>River floods the old town</h1><p>{a}</p><div class="ad-slot">{ad}</div><p>{b}</p><p>{c}</p></article>{foot}',
+        f'<body>{nav}<div class="post-body">{body}</div><div class="related-posts"><h3>Read on</h3>{menu}</div>{foot}',
+        f'<body><header class="site-header"><div>The Paper</div></header>{nav}<section class="entry-content">{body}</section>{foot}',
+        f'<body><div class="cookie-consent"><p>We use cookies to make this site better.</p><button>Accept</button></div>{nav}<main class="content">{body}</main>{foot}',
+        f'<body>{nav}<main><div class="newsletter-signup"><p>Get our letter each morning.</p><form><input><button>Send</button></form></div>{body}</main>{foot}',
+        f"<table><tr><td><a href='/'>Home</a> <a href='/n'>News</a></td><td class='content'>{body}</td><td class='ads'>Buy cheap pills now</td></tr></table>",
+        f'<body>{nav}<article itemprop="articleBody" class="text">{body}</article><section class="comments-area"><h2>3 replies</h2>{comment}</section>{foot}',
+        f'<body><form class="search-form"><input><button>Search</button></form><div id="content">{body}</div><div id="sidebar"><h3>Popular</h3>{menu}</div>{foot}',
+        f'<body>{nav}<div class="page"><div class="main-column" role="main">{body}</div><div class="right-column sidebar">{ad}</div></div>{foot}',
+        f'<body><script>var x="<p>no</p>"</script><style>p{{}}</style>{nav}<article>{body}</article><noscript><p>Turn on scripts.</p></noscript>{foot}',
+        f'<body><div class="breadcrumb"><a href="/">Home</a> <a href="/n">News</a></div><article class="post">{body}<div class="social-share"><a>Share this</a></div></article><div class="comment-list">{comment}</div>{foot}',
+        f'<body><div class="banner-ad">{ad}</div><div class="story-text">{body}</div><div class="site-footer"><p>Terms of use</p></div>',
+        f'<body>{nav}<main id="main"><article>{body}</article><div class="recommended"><h3>More for you</h3>{menu}</div></main>{foot}',
+    ]
+    found = [(p, text) for p in pages]
+    found.append((f'<body>{nav}<article>{body}<p>The area <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is &lt; 9.</p></article>{foot}', text + " The area x+1 is < 9."))
+    found.append((f'<body>{nav}<article>{body}<figure><img><figcaption>The old bridge in May</figcaption></figure></article>{foot}', text + " The old bridge in May"))
+    return found
+
+
+def test_html_pages_written_by_hand(spark):
+    """Words of the main text against those extracted, with a field fitted on the supplied pages."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    extractor = html_extract.Extractor(html_extract.learn(pages[:240]))
+    hit = got_all = want_all = 0
+    for i, (page, want) in enumerate(_written_pages()):
+        got = extractor.text(page)
+        if got != want:
+            print(i, repr(got[-150:]))
+        both = sum((Counter(got.split()) & Counter(want.split())).values())
+        hit, got_all, want_all = hit + both, got_all + len(got.split()), want_all + len(want.split())
+    assert 2 * hit / (got_all + want_all) >= 0.95
+
+
 def test_html_blocks():
     page = "<!-- <p>no</p> --><script>var a='<p>no</p>'</script><ul><li>a &amp; b<li>c&nbsp;d</ul><p>e<br>f <i>g</i>h<p>&lt;i&gt;</p>tail"
     assert [b.text for b in html_extract.blocks(page, html_extract.root())] == ["a & b", "c d", "e f gh", "<i>", "tail"]
