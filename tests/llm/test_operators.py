@@ -388,7 +388,7 @@ def test_html_open_quotes_and_custom_elements():
     texts = lambda page: [b.text for b in html_extract.blocks(page, html_extract.root())]
     assert texts('<p title="a>b</p><p>c') == ["b", "c"]
     assert texts("<p don't>a</p><p>it's b") == ["a", "it's b"]
-    assert texts("<title-card>a</title-card><object-view><p>b</object-view><object/><p>no</object><p>c") == ["a", "b", "c"]
+    assert texts("<title-card>a</title-card><object-view><p>b</object-view><iframe/><p>no</iframe><object><p>d</object><p>c") == ["a", "b", "d", "c"]
 
 
 def test_viterbi_is_best_path():
