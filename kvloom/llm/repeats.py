@@ -44,7 +44,7 @@ from kvloom.llm.identity import told_apart
 from kvloom.llm.shipping import materialise, ship
 from kvloom.llm.textops import Chunk, Slices, chunks, ids, mix, signed, slice_hash, words
 
-SPLIT = 20_000
+SPLIT = 100_000  # contexts that one task compares: some 50 MB with those of windows of 100 bytes
 
 
 @dataclass(frozen=True)
@@ -161,7 +161,8 @@ def matched(found: DataFrame, spec: Spec) -> DataFrame:
     else:
         lowest = F.min(F.struct("doc", "copy", "pos")).over(by_context)
         late = F.col("cov") | (F.struct("doc", "copy", "pos") > lowest)
-    kinds = grouped.select("anchor", "doc", "copy", "pos", "n", late.alias("late"), "several").where(F.col("late") | F.col("several"))
+    kinds = grouped.select("anchor", "doc", "copy", "pos", late.alias("late"), "several").where(F.col("late") | F.col("several"))
+    kinds = kinds.withColumn("n", F.count_if(~F.col("late")).over(by_anchor))  # contexts to compare
     return kinds.groupBy("doc", "copy").agg(
         F.collect_list(F.when(F.col("late"), F.col("pos"))).alias("copies"),
         F.collect_list(F.when(~F.col("late"), F.struct("pos", "anchor", (F.col("n") > SPLIT).alias("big")))).alias("compare"),
