@@ -1,11 +1,18 @@
 """Exact top-k search by the threshold algorithm over sorted per-dimension lists.
 
-Rows are dealt by a hash of their id into blocks, and so are queries; each block of queries meets
-each block of rows in one task.  A task sorts its rows by every dimension once.  For each query the
-lists are read in step, from the end that its sign favours; rows seen are scored in full, and
-reading stops when the best score that an unseen row could reach (the sum over the lists at the
-present depth) is below the k-th score found.  Equal bounds go on, since a tie may have a smaller
-id.  The blocks' answers are merged by rank.
+Rows are dealt evenly into blocks of some ``BLOCK`` values.  One task holds a block, sorts it by
+every dimension once and lets queries stream past.  A query reads the lists in step, from the end
+that its sign favours; rows met are scored in full, and reading stops when the best score that an
+unseen row could reach (the sum over the lists at the present depth) is below the k-th score known.
+Equal bounds go on, since a tie may have a smaller id.
+
+Every query first searches one block.  The k-th score found there goes with it to the other blocks
+as a floor, so the depth at which reading must stop is known before reading and found by bisection;
+a block whose first bound is below the floor is not read at all.  Where a query has to read as many
+list entries as the block has rows, all rows of the block count as met, and such queries are scored
+together by one matrix product.  The blocks' answers are merged by rank.
+
+Rows are shuffled twice (once for each round), whatever their number; queries once for each block.
 
 Edge cases: a null vector, or one with a null or non-finite component, takes no part, and neither
 does a row without an id; only vectors of the query's length are compared; rows that repeat id and
@@ -15,6 +22,8 @@ columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,8 +31,9 @@ from pyspark.sql import functions as F
 
 from kvloom.llm.shipping import materialise, ship
 
-BLOCK = 16384
-QUERY_BLOCK = 1024
+BLOCK = 1 << 21
+SCORES = 1 << 22
+STEP = 8
 SCALE = 64
 
 
@@ -57,84 +67,163 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        largest = int(np.abs(vectors).max()) if vectors.size else 0
-        self.exact = largest  # products stay whole in doubles while below 2**53
-        self.order = np.argsort(-vectors, axis=0, kind="stable")
+        self.largest = int(np.abs(vectors).max()) if vectors.size else 0
+        self.order = np.argsort(-vectors, axis=0, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(vectors, self.order, axis=0)
-
-    def top(self, query: np.ndarray, own: int, k: int, step: int = 16) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows, best first, without rows whose id is ``own``."""
+        self._cast: dict[type, np.ndarray] = {}
+
+    def kind(self, queries: np.ndarray) -> type:
+        """The fastest number type in which every score of these queries is exact."""
+        reach = self.largest * int(np.abs(queries).max(initial=0)) * max(1, queries.shape[1])
+        return np.float32 if reach < 1 << 24 else np.float64 if reach < 1 << 53 else np.int64
+
+    def rows(self, kind: type) -> np.ndarray:
+        if kind not in self._cast:
+            self._cast[kind] = self.vectors.astype(kind)
+        return self._cast[kind]
+
+    def bounds(self, queries: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """The best score of a row not met when ``depth`` (below the block's size) entries are read."""
+        at = np.where(queries < 0, len(self.ids) - 1 - depth[:, None], depth[:, None])
+        return (self.values[at, np.arange(queries.shape[1])] * queries).sum(axis=1)
+
+    def depths(self, queries: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """The least depth at which no row unmet can reach the floor, by bisection: bounds fall."""
+        low, high = np.zeros(len(queries), np.int64), np.full(len(queries), len(self.ids))
+        while (low < high).any():
+            middle = (low + high) // 2
+            done = (middle == high) | (self.bounds(queries, np.minimum(middle, len(self.ids) - 1)) < floors)
+            low, high = np.where(done, low, middle + 1), np.where(done, middle, high)
+        return low
+
+    def met(self, query: np.ndarray, depth: int) -> np.ndarray:
+        """Rows among the first ``depth`` entries of the query's lists."""
         n = len(self.ids)
-        used = np.flatnonzero(query)
-        rising = query[used] < 0
-        as_float = self.exact * int(np.abs(query).max(initial=0)) * max(1, len(query)) < 1 << 53
-        q, rows = (query.astype(np.float64), self.floats) if as_float else (query, self.vectors)
         seen = np.zeros(n, bool)
-        best_ids, best_scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        depth = 0
-        while depth < n:
-            until = min(n, depth + step)
-            if len(used):
-                fall = self.order[depth:until, used[~rising]]
-                rise = self.order[n - until : n - depth, used[rising]]
-                seen_now = np.zeros(n, bool)
-                seen_now[fall.ravel()] = True
-                seen_now[rise.ravel()] = True
-                new = np.flatnonzero(seen_now & ~seen)
-            else:
-                new, until = np.flatnonzero(~seen), n
-            seen[new] = True
-            new = new[self.ids[new] != own]
-            scores = (rows[new] @ q).astype(np.int64)
-            best_ids, best_scores = np.concatenate([best_ids, self.ids[new]]), np.concatenate([best_scores, scores])
-            if len(best_ids) > k:
-                cut = np.partition(best_scores, len(best_scores) - k)[len(best_scores) - k]
-                keep = best_scores >= cut
-                best_ids, best_scores = best_ids[keep], best_scores[keep]
-            at = np.where(rising, self.values[n - until, used], self.values[until - 1, used])
-            bound = int((at * query[used]).sum())
-            if len(best_ids) >= k and best_scores.min() > bound:
-                break
-            depth, step = until, step * 2
-        order = np.lexsort((best_ids, -best_scores))[:k]
-        return best_ids[order], best_scores[order]
-
-    @property
-    def floats(self) -> np.ndarray:
-        if not hasattr(self, "_floats"):
-            self._floats = self.vectors.astype(np.float64)
-        return self._floats
-
-
-def _matrix(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("v").to_pylist()), np.int64).reshape(table.num_rows, -1)
-
-
-FOUND = "query_id long, q long, vec_id long, score long"
+        seen[self.order[:depth, query > 0].ravel()] = True
+        seen[self.order[n - depth :, query < 0].ravel()] = True
+        return np.flatnonzero(seen)
+
+    def scores(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        kind = self.kind(query[None, :])
+        return (self.rows(kind)[rows] @ query.astype(kind)).astype(np.int64)
+
+    def best(self, rows: np.ndarray, scores: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best of these rows, best first, without rows whose id is ``own``."""
+        ids = self.ids[rows]
+        ids, scores = ids[ids != own], scores[ids != own]
+        if len(ids) > k:
+            keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            ids, scores = ids[keep], scores[keep]
+        order = np.lexsort((ids, -scores))[:k]
+        return ids[order], scores[order]
+
+    def first(self, query: np.ndarray, own: int, k: int) -> int | None:
+        """A k-th score to begin with, reading deeper until there is one or every row counts as met."""
+        used, depth = int(np.count_nonzero(query)), 1
+        while depth * used < len(self.ids) and used:
+            rows = self.met(query, depth)
+            _, scores = self.best(rows, self.scores(query, rows), own, k)
+            if len(scores) == k:
+                return int(scores[-1])
+            depth *= STEP
+        return None
+
+    def top(self, queries: np.ndarray, owns: list[int], floors: list[int | None], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of its k best rows, best first; rows below its floor may miss."""
+        lowest = np.iinfo(np.int64).min
+        known = [self.first(q, own, k) if floor is None else floor for q, own, floor in zip(queries, owns, floors)]
+        limits = np.array([lowest if f is None else f for f in known], np.int64)
+        used = np.count_nonzero(queries, axis=1)
+        depths = self.depths(queries, limits)
+        whole = (depths > 0) & ((depths * used >= len(self.ids)) | (used == 0))
+        found: list[tuple[np.ndarray, np.ndarray]] = [(self.ids[:0], self.ids[:0])] * len(queries)
+        for i in np.flatnonzero(~whole & (depths > 0)):
+            rows = self.met(queries[i], int(depths[i]))
+            found[i] = self.best(rows, self.scores(queries[i], rows), owns[i], k)
+        these = np.flatnonzero(whole)
+        size = max(1, SCORES // max(1, len(self.ids)))
+        for part in (these[i : i + size] for i in range(0, len(these), size)):
+            kind = self.kind(queries[part])
+            scored = queries[part].astype(kind) @ self.rows(kind).T
+            for i, scores in zip(part, scored):
+                rows = np.flatnonzero(scores >= limits[i])
+                found[i] = self.best(rows, scores[rows].astype(np.int64), owns[i], k)
+        return found
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(len(column), -1)
+
+
+FOUND = "vec_id long, q long, dim int, block int, v binary, floor long, ids array<long>, scores array<long>"
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The stretches of a batch with one length, block and role."""
+    if batch.num_rows:
+        keys = [np.asarray(batch.column(c).cast(pa.int64())) for c in ("dim", "block", "asks")]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+            yield tuple(int(k[start]) for k in keys), batch.slice(start, stop - start)
+
+
+def _rounds(rows: DataFrame, queries: DataFrame, blocks: int, k: int, carry: bool) -> DataFrame:
+    """The best rows of each query within the block it names; ``carry`` hands its vector on."""
+
+    def run(batches):
+        held, key, lists = [], None, None
+        for batch in batches:
+            for (dim, block, asks), part in _runs(batch):
+                if key != (dim, block):
+                    held, key, lists = [], (dim, block), None
+                if not asks:
+                    held.append(part)
+                    continue
+                if lists is None:
+                    ids = np.concatenate([np.asarray(p.column("vec_id")) for p in held]) if held else np.zeros(0, np.int64)
+                    vectors = np.concatenate([_matrix(p.column("v")) for p in held]) if held else np.zeros((0, dim), np.int64)
+                    held, lists = [], Lists(ids, vectors)
+                if not len(lists.ids) and not carry:
+                    continue
+                floors = part.column("floor").to_pylist()
+                found = lists.top(_matrix(part.column("v")), part.column("vec_id").to_pylist(), floors, k) if len(lists.ids) else [(lists.ids, lists.ids)] * part.num_rows
+                if not carry:
+                    some = pa.array([len(ids) > 0 for ids, _ in found])
+                    part, found = part.filter(some), [f for f in found if len(f[0])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("vec_id"),
+                        part.column("q"),
+                        part.column("dim"),
+                        part.column("block"),
+                        part.column("v") if carry else pa.nulls(part.num_rows, pa.binary()),
+                        pa.array([int(s[-1]) if len(s) == k else None for _, s in found], pa.int64()),
+                        pa.array([ids.tolist() for ids, _ in found], pa.list_(pa.int64())),
+                        pa.array([s.tolist() for _, s in found], pa.list_(pa.int64())),
+                    ],
+                    names=["vec_id", "q", "dim", "block", "v", "floor", "ids", "scores"],
+                )
+
+    none = F.lit(None).cast("long")
+    offered = rows.select("dim", "block", F.lit(False).alias("asks"), "vec_id", none.alias("q"), "v", none.alias("floor"))
+    sent = offered.unionByName(queries.withColumn("asks", F.lit(True)).select(*offered.columns))
+    dealt = sent.repartition(2 * blocks, "dim", "block").sortWithinPartitions("dim", "block", "asks")
+    return dealt.mapInArrow(run, FOUND)
 
 
 def search(table: DataFrame, every: int = 20, k: int = 20, scale: int = SCALE) -> DataFrame:
     """The ``k`` rows of highest inner product for each row whose id is divisible by ``every``."""
     ship(table.sparkSession)
-    rows = materialise(quantise(table, scale))
-    n = rows.count()
-    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-n // (every * QUERY_BLOCK)))
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    right = rows.withColumn("block", deal(blocks, 1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    left = queries.withColumn("part", deal(query_blocks, 2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def run(asked: pa.Table, block: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
-        if asked.num_rows and block.num_rows:
-            lists = Lists(np.asarray(block.column("vec_id")), _matrix(block))
-            for own, q, vector in zip(asked.column("vec_id").to_pylist(), asked.column("q").to_pylist(), _matrix(asked)):
-                ids, scores = lists.top(vector, own, k)
-                for column, values in zip(out, ([own] * len(ids), [q] * len(ids), ids.tolist(), scores.tolist())):
-                    column += values
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "q", "vec_id", "score"])
-
-    keys = ["dim", "block", "part"]
-    found = left.withColumn("q", F.xxhash64("v")).groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, FOUND)
+    kept = materialise(quantise(table, scale).withColumn("deal", F.xxhash64(F.monotonically_increasing_id())))
+    blocks = max(1, -(-(kept.agg(F.sum("dim")).first()[0] or 0) // BLOCK))
+    rows = kept.withColumn("block", F.pmod("deal", F.lit(blocks)).cast("int"))
+    queries = kept.where(F.col("vec_id") % every == 0).select("vec_id", "dim", "v").dropDuplicates(["vec_id", "v"]).withColumn("q", F.xxhash64("v"))
+    home = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "q"), F.lit(blocks)).cast("int")).withColumn("floor", F.lit(None).cast("long"))
+    near = materialise(_rounds(rows, home, blocks, k, carry=True))
+    others = F.array_remove(F.sequence(F.lit(0), F.lit(blocks - 1)), F.col("block"))
+    far = _rounds(rows, near.withColumn("block", F.explode(others)), blocks, k, carry=False) if blocks > 1 else near.limit(0)
+    found = near.unionByName(far).select("vec_id", "q", F.explode(F.arrays_zip("ids", "scores")).alias("f"))
+    found = found.select(F.col("vec_id").alias("query_id"), "q", F.col("f.ids").alias("vec_id"), F.col("f.scores").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

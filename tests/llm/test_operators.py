@@ -283,6 +283,48 @@ def test_topk(spark):
     assert topk_search.search(both.limit(0)).count() == 0
 
 
+def _best(table, query, own, k):
+    scores = [(int(np.dot(v, query)), i) for i, v in table if i != own]
+    return [(i, s) for s, i in sorted(scores, key=lambda p: (-p[0], p[1]))[:k]]
+
+
+def test_topk_lists_stop_early():
+    r = np.random.default_rng(3)
+    for spread in (0.0, 1.5):  # with the second, few dimensions decide and lists are read a little way only
+        vectors = np.floor(64 * r.normal(size=(3000, 8)) * np.exp(-spread * np.arange(8))).astype(np.int64)
+        vectors[500:900] = vectors[7]
+        ids = r.permutation(3000).astype(np.int64)
+        lists, table = topk_search.Lists(ids, vectors), list(zip(ids.tolist(), vectors))
+        queries = np.concatenate([vectors[:12], np.zeros((1, 8), np.int64), 1 << 20 + 0 * vectors[:1], (1 << 45) + vectors[:1]])
+        owns = [*ids[:12].tolist(), -1, -1, -1]
+        plain = [_best(table, q, own, 5) for q, own in zip(queries, owns)]
+        floors = [p[-1][1] if i % 2 else None for i, p in enumerate(plain)]
+        for (got, scores), expected in zip(lists.top(queries, owns, floors, 5), plain):
+            assert list(zip(got.tolist(), scores.tolist())) == expected
+        depths = lists.depths(queries[:12], np.array([p[-1][1] for p in plain[:12]]))
+        if spread:
+            assert np.median(depths) < 300
+        for q, d, p in zip(queries, depths, plain):
+            assert not d or {i for i, s in p} <= set(ids[lists.met(q, int(d))].tolist())
+        assert [len(f[0]) for f in lists.top(queries[:2], owns[:2], [1 << 40, 1 << 40], 5)] == [0, 0]
+
+
+def test_topk_over_many_blocks(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(int(i), r.normal(size=4 if i % 9 else 6).tolist(), i) for i in range(400)]
+    rows += [(40, [0.5, 0.5, 0.5, 0.5], 1)] * 150 + [(60, [1.0, -1.0, 1.0, -1.0], 1), (60, [2.0, 0.0, 0.0, 0.0], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int").withColumn("score", F.lit("x"))
+    monkeypatch.setattr(topk_search, "BLOCK", 200)
+    got = defaultdict(list)
+    for row in topk_search.search(table, k=7).orderBy("query_id", "rank").collect():
+        got[row["query_id"]].append((row["vec_id"], row["score"]))
+    held = [(i, np.floor(64 * np.array(v)).astype(np.int64)) for i, v, _ in rows]
+    plain = defaultdict(list)
+    for i, q in {(i, tuple(v.tolist())) for i, v in held if i % 20 == 0}:
+        plain[i] += _best([(j, v) for j, v in held if len(v) == len(q)], np.array(q), i, 7)
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in plain.items()}
+
+
 def test_quality_classifier(spark, small, odd):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     rows = quality_classifier.score(small, labels).join(labels, "doc_id").where("held_out").collect()
