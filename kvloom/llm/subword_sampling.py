@@ -13,7 +13,10 @@ so a task that runs again draws the same.
 
 Pieces have merge ranks, not probabilities; Zipf's law, ``-log(rank + RANK_OFFSET)``, stands for
 them.  Characters without a piece are spelt in byte pieces.  No piece crosses into the next word,
-so lattices are kept by word, and a word's lattice is a few tables however long the text.
+so the tree of prefixes branches by word, and the lattices of a few texts' distinct words are built
+and read together as arrays: a path draws all its words at once.  What each draw leaves is a branch
+with a maximum of its own; of one path's branches only the ``k`` best can ever be taken up, and only
+they are kept.
 
 Edge cases: a null text has no segmentation and gives no rows; an empty text gives one sample
 without ids; a text with fewer than ``k`` segmentations gives all, each with inclusion 1; repeated
@@ -24,11 +27,12 @@ from __future__ import annotations
 
 import heapq
 import math
-import random
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -37,35 +41,171 @@ from kvloom.llm.shipping import ship
 K = 4
 RANK_OFFSET = 3.0
 BYTE_LOG_PROBABILITY = -14.0
-WORDS_KEPT = 200_000
-ROWS = 500
-IDS = 1 << 19  # a batch of samples ends at the text that reaches this many
+CHARACTERS = 1 << 18  # a batch of samples ends at the text that reaches this many
 _BLANK = "▁"
 
 
-class Lattice:
-    """Choices at each position of a word: (end, ids, probability given the position)."""
+class _Numbers(dict):
+    """Numbers words in the order met."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
+class Lattices:
+    """The lattices of a few texts' distinct words, as flat arrays.  A node is a character's place
+    in the joined words; an edge is a piece from there.  A word's segmentation is its edges."""
+
+    def __init__(self, words: list[str], sampler: Sampler):
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.array([len(w) for w in words], np.int64)
+        self.start = np.cumsum(sizes) - sizes
+        n = len(points)
+        left = np.repeat(self.start + sizes, sizes) - np.arange(n)
+        src, size, start, weight = self._edges(points, left, sampler)
+        order = np.lexsort((src, left[src]))
+        src, size, start, weight = src[order], size[order], start[order], weight[order]
+        ends = size == left[src]
+        mass, p = np.zeros(n + 1), np.zeros(len(src))
+        cuts = np.flatnonzero(np.diff(left[src], prepend=0)).tolist() + [len(src)]
+        for lo, hi in zip(cuts, cuts[1:]):  # from the ends of words to their beginnings
+            total = weight[lo:hi] + np.where(ends[lo:hi], 0.0, mass[src[lo:hi] + size[lo:hi]])
+            heads = np.flatnonzero(np.diff(src[lo:hi], prepend=-1))
+            counts = np.diff(heads, append=hi - lo)
+            top = np.maximum.reduceat(total, heads)
+            share = np.exp(total - np.repeat(top, counts))
+            sums = np.add.reduceat(share, heads)
+            mass[src[lo:hi][heads]] = top + np.log(sums)
+            p[lo:hi] = share / np.repeat(sums, counts)
+        order = np.argsort(src, kind="stable")
+        src, size, ends, self.p = src[order], size[order], ends[order], p[order]
+        self.pool_start, self.dst, self.ends = start[order], src + size, ends
+        self.first = np.searchsorted(src, np.arange(n + 1))
+        heads = self.first[:-1]
+        largest = self.p == np.repeat(np.maximum.reduceat(self.p, heads), np.diff(self.first)) if n else np.zeros(0, bool)
+        #: What an edge leaves of its node, summed and not subtracted where the edge is nearly all.
+        others = np.add.reduceat(np.where(largest, 0.0, self.p), heads) if n else np.zeros(0)
+        ties = np.add.reduceat(largest, heads, dtype=np.int64) if n else np.zeros(0, np.int64)
+        self.other = np.where(largest, others[src] + (ties[src] - 1) * self.p, 1.0 - self.p)
+        self.log_p = np.log(self.p)
+        total = np.concatenate([[0.0], np.cumsum(self.p)])
+        self.upto = src + (total[1:] - total[self.first[src]])
+
+    def _edges(self, points: np.ndarray, left: np.ndarray, sampler: Sampler):
+        """Node, length, place in the pool of ids and weight of every edge; sets the pool."""
+        at, hashes = np.arange(len(points)), np.zeros(len(points), np.uint64)
+        missing = np.ones(len(points), bool)
+        parts: list[tuple] = []
+        for length in range(1, sampler.longest + 1):
+            at = at[left[at] >= length]
+            if not len(at):
+                break
+            hashes[at] = _mix(hashes[at], points[at + length - 1])
+            if length in sampler.by_length:
+                keys, ids, weights, spelt = sampler.by_length[length]
+                place = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
+                hit = np.flatnonzero(keys[place] == hashes[at])
+                found, place = at[hit], place[hit]
+                same = (points[found[:, None] + np.arange(length)] == spelt[place]).all(axis=1)
+                found, place = found[same], place[same]
+                if length == 1:
+                    missing[found] = False
+                parts.append((found, np.full(len(found), length), ids[place], weights[place]))
+        lost = np.flatnonzero(missing)
+        kinds, which = np.unique(points[lost], return_inverse=True)
+        spelt = [chr(int(c)).encode("utf-8", "surrogatepass") for c in kinds]
+        sizes = np.array([len(b) for b in spelt], np.int64)
+        places = len(sampler.sizes) + np.cumsum(sizes) - sizes
+        parts.append((lost, np.ones(len(lost), np.int64), places[which], BYTE_LOG_PROBABILITY * sizes[which]))
+        vocabulary = len(sampler.sizes)
+        self.pool = np.concatenate([np.arange(vocabulary), [sampler.byte_ids[b] for x in spelt for b in x]]).astype(np.int32)
+        self.pool_sizes = np.ones(len(self.pool), np.int64)
+        self.pool_sizes[places] = sizes
+        return (np.concatenate(c) for c in zip(*parts))
+
+    def fresh(self, words: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """One segmentation of each word: edges of all, how many each has, log-probabilities, and
+        the share of the word's segmentations that is left."""
+        m = len(words)
+        active, now = np.arange(m), self.start[words]
+        counts, log_p, share, rest = np.zeros(m, np.int64), np.zeros(m), np.ones(m), np.zeros(m)
+        steps = []
+        while len(active):
+            edges = np.searchsorted(self.upto, now + rng.random(len(now)), side="right")
+            edges = np.minimum(np.maximum(edges, self.first[now]), self.first[now + 1] - 1)
+            steps.append((active, edges))
+            counts[active] += 1
+            log_p[active] += self.log_p[edges]
+            rest[active] += share[active] * self.other[edges]
+            share[active] *= self.p[edges]
+            more = ~self.ends[edges]
+            active, now = active[more], self.dst[edges[more]]
+        upto = np.cumsum(counts) - counts
+        path = np.zeros(int(counts.sum()), np.int64)
+        for i, (tokens, edges) in enumerate(steps):
+            path[upto[tokens] + i] = edges
+        return path, counts, log_p, rest
+
+    def left(self, word: int, taken: list[tuple[int, ...]]) -> list[dict[tuple[int, ...], float]]:
+        """By depth, for each set of taken segmentations that agree so far, the share of their
+        node that none of them takes; sums only, so small shares stay right."""
+        levels = []
+        groups = {tuple(range(len(taken))): int(self.start[word])}
+        while groups:
+            level = {}
+            for group, node in groups.items():
+                children: dict[int, tuple[int, ...]] = {}
+                for t in group:
+                    edge = taken[t][len(levels)]
+                    children[edge] = (*children.get(edge, ()), t)
+                level[group] = (node, children)
+            levels.append(level)
+            groups = {g: int(self.dst[e]) for _, children in level.values() for e, g in children.items() if not self.ends[e]}
+        shares: list[dict[tuple[int, ...], float]] = [{}]
+        for level in reversed(levels):
+            below = shares[-1]
+            shares.append({g: sum(float(self.p[e]) * (below.get(children[e], 0.0) if e in children else 1.0) for e in range(self.first[node], self.first[node + 1])) for g, (node, children) in level.items()})
+        return shares[:0:-1]
+
+    def another(self, word: int, taken: list[tuple[int, ...]], draw) -> tuple[int, ...]:
+        """A segmentation drawn from those not taken."""
+        shares, group, node, out = self.left(word, taken), tuple(range(len(taken))), int(self.start[word]), []
+        while True:
+            choices = range(self.first[node], self.first[node + 1])
+            agree = {e: tuple(t for t in group if taken[t][len(out)] == e) for e in choices}
+            below = shares[len(out) + 1] if len(out) + 1 < len(shares) else {}
+            weights = [float(self.p[e]) * (below.get(agree[e], 0.0) if agree[e] else 1.0) for e in choices]
+            u, pick = draw() * sum(weights), None
+            for e, w in zip(choices, weights):
+                if w > 0:
+                    pick = e
+                    u -= w
+                    if u < 0:
+                        break
+            out.append(pick)
+            if self.ends[pick]:
+                return tuple(out)
+            group, node = agree[pick], int(self.dst[pick])
+
+    def spell(self, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all paths in one array, and how many each has."""
+        places = self.pool_start[np.concatenate(paths)] if paths else np.zeros(0, np.int64)
+        taken = self.pool_sizes[places]
+        owners = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
+        counts = np.bincount(owners, weights=taken, minlength=len(paths)).astype(np.int64)
+        return self.pool[_spans(places, taken, np.cumsum(taken))], counts
+
 
-    __slots__ = ("choices", "mass")
+def _mix(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """A polynomial hash of a string, longer by one code point; equal hashes are compared whole."""
+    return hashes * np.uint64(6364136223846793005) + points + np.uint64(1)
 
-    def __init__(self, word: str, pieces: dict[str, tuple[int, float]], longest: int, byte_ids: list[int]):
-        n = len(word)
-        mass = [0.0] * (n + 1)
-        self.choices: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n)]
-        for i in range(n - 1, -1, -1):
-            found = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                piece = pieces.get(word[i:j])
-                if piece is not None:
-                    found.append((j, (piece[0],), piece[1] + mass[j]))
-            if word[i] not in pieces:
-                spelt = word[i].encode("utf-8", "surrogatepass")
-                found.append((i + 1, tuple(byte_ids[b] for b in spelt), BYTE_LOG_PROBABILITY * len(spelt) + mass[i + 1]))
-            top = max(w for *_, w in found)
-            total = top + math.log(sum(math.exp(w - top) for *_, w in found))
-            mass[i] = total
-            self.choices[i] = [(j, ids, math.exp(w - total)) for j, ids, w in found]
-        self.mass = mass[0]
+
+def _spans(starts: np.ndarray, sizes: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """The places of consecutive stretches: start, start + 1 ... of each."""
+    total = int(upto[-1]) if len(upto) else 0
+    return np.repeat(starts - (upto - sizes), sizes) + np.arange(total)
 
 
 class Sampler:
@@ -78,82 +218,116 @@ class Sampler:
         self.pieces: dict[str, tuple[int, float]] = {}
         self.byte_ids = [0] * 256
         crossing = False
+        spelt = []
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
+            spelt.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(_BLANK, " ").encode("utf-8", "surrogatepass"))
             if self.model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
             elif not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i)):
                 self.pieces[piece] = (i, -math.log(max(0.0, -self.model.get_score(i)) + RANK_OFFSET))
                 crossing |= _BLANK in piece.lstrip(_BLANK)
         self.longest = max(map(len, self.pieces), default=1)
+        self.bytes = np.frombuffer(b"".join(spelt), np.uint8)
+        self.sizes = np.array([len(b) for b in spelt], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for length in {len(piece) for piece in self.pieces}:
+            these = [piece for piece in self.pieces if len(piece) == length]
+            spelt_out = np.frombuffer("".join(these).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, length)
+            keys = np.zeros(len(these), np.uint64)
+            for column in spelt_out.T:
+                keys = _mix(keys, column)
+            order = np.argsort(keys)
+            ids, weights = (np.array(c)[order] for c in zip(*(self.pieces[piece] for piece in these)))
+            if len(np.unique(keys)) < len(keys):
+                raise ValueError("two pieces of one length share a hash")
+            self.by_length[length] = keys[order], ids, weights, spelt_out[order]
         #: A word is its leading blanks and what follows them up to the next blank.
         self.split: Callable[[str], list[str]] = (lambda s: [s]) if crossing else re.compile(f"{_BLANK}*[^{_BLANK}]+|{_BLANK}+$").findall
-        self.words: dict[str, Lattice] = {}
-
-    def lattice(self, word: str) -> Lattice:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
-            found = self.words[word] = Lattice(word, self.pieces, self.longest, self.byte_ids)
+
+    def _search(self, words: Lattices, chain: np.ndarray, k: int, seed: int) -> list[tuple[np.ndarray, float, float]]:
+        """Edges, log-probability and maximum of up to ``k`` + 1 paths, best first."""
+        rng = np.random.default_rng(seed & ((1 << 64) - 1))
+        heap: list[tuple] = []
+        found: list[tuple[np.ndarray, float, float]] = []
+        pushed = 0
+
+        def push(best, *branch):
+            nonlocal pushed
+            pushed += 1
+            heapq.heappush(heap, (-best, pushed, *branch))
+
+        def below(location, best, noise):
+            """The largest Gumbel at ``location``, given that it is below ``best``."""
+            return location - np.log(np.exp(np.minimum(700.0, location - best)) - np.log(noise))
+
+        def finish(head, at, prefix, best):
+            """Draws the words from ``at`` on.  Of what it leaves, only the ``k`` best can come."""
+            edges, counts, log_p, rest = words.fresh(chain[at:], rng)
+            path = np.concatenate([head, edges])
+            upto = prefix + np.cumsum(log_p)
+            if len(counts):
+                before = np.concatenate([[prefix], upto[:-1]])
+                maxima = below(before + np.log(rest), best, 1.0 - rng.random(len(counts)))
+                stops = len(head) + np.cumsum(counts)
+                for i in np.argpartition(-maxima, k - 1)[:k] if len(maxima) > k else range(len(maxima)):
+                    if maxima[i] > -math.inf:
+                        begin, stop = int(stops[i] - counts[i]), int(stops[i])
+                        push(float(maxima[i]), at + int(i), path[:begin], float(before[i]), [tuple(path[begin:stop].tolist())])
+            found.append((path, float(upto[-1]) if len(upto) else prefix, best))
+
+        with np.errstate(divide="ignore"):
+            finish(np.zeros(0, np.int64), 0, 0.0, -math.log(-math.log(1.0 - rng.random()) or 1e-300))
+            while heap and len(found) <= k:
+                minus, _, at, head, prefix, taken = heapq.heappop(heap)
+                word = int(chain[at])
+                pick = words.another(word, taken, rng.random)
+                taken = [*taken, pick]
+                left = words.left(word, taken)[0][tuple(range(len(taken)))]
+                if left > 0:
+                    push(float(below(prefix + math.log(left), -minus, 1.0 - rng.random())), at, head, prefix, taken)
+                finish(np.append(head, pick), at + 1, prefix + float(words.log_p[list(pick)].sum()), -minus)
         return found
 
+    def batch(self, texts: list[str], k: int, seeds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all samples of these texts: the text's place, the sample's number, how many ids, all
+        ids in one array, log-probabilities and inclusions."""
+        numbers = _Numbers()
+        chains = [np.fromiter(map(numbers.__getitem__, self.split(_BLANK + t.replace(" ", _BLANK)) if t else ()), np.int64) for t in texts]
+        words = Lattices(list(numbers), self)
+        rows, places, paths, log_p, inclusion = [], [], [], [], []
+        for i, (chain, seed) in enumerate(zip(chains, seeds)):
+            found = self._search(words, chain, k, seed) if len(chain) else [(chain, 0.0, 0.0)]
+            kappa = found[k][2] if len(found) > k else None
+            for j, (path, p, _) in enumerate(found[:k]):
+                rows.append(i)
+                places.append(j)
+                paths.append(path)
+                log_p.append(p)
+                inclusion.append(1.0 if kappa is None else -math.expm1(-math.exp(min(700.0, p - kappa))))
+        ids, counts = words.spell(paths)
+        return np.array(rows, np.int64), np.array(places, np.int32), counts, ids, np.array(log_p), np.array(inclusion)
+
     def sample(self, text: str, k: int, seed: int) -> list[tuple[list[int], float, float]]:
         """Ids, log-probability and inclusion of up to ``k`` distinct segmentations, best first."""
-        if not text:
-            return [([], 0.0, 1.0)]
-        chain = [self.lattice(w).choices for w in self.split(_BLANK + text.replace(" ", _BLANK))]
-        draw = random.Random(seed).random
-        exp, log = math.exp, math.log
-        # A heap entry: minus its maximum, tie-break, word, position, choices left and their share,
-        # log-probability of the prefix, and the prefix as a linked list.
-        heap: list[tuple] = [(log(-log(draw() or 1e-300)), 0, 0, 0, chain[0][0], 1.0, 0.0, None)]
-        found: list[tuple[list[int], float, float]] = []
-        n = 0
-        while heap and len(found) <= k:
-            minus, _, word, at, choices, share, prefix, ids = heapq.heappop(heap)
-            best = -minus
-            while True:
-                if len(choices) == 1:
-                    pick, left = choices[0], None
-                else:
-                    u = draw() * share
-                    for pick in choices:
-                        u -= pick[2]
-                        if u < 0:
-                            break
-                    left = [c for c in choices if c is not pick]
-                    rest = sum(c[2] for c in left)
-                    if rest > 0:
-                        # The largest Gumbel of the rest, given that it is below ``best``.
-                        location = prefix + log(rest)
-                        below = location - log(exp(min(700.0, location - best)) - log(draw() or 1e-300))
-                        n += 1
-                        heapq.heappush(heap, (-below, n, word, at, left, rest, prefix, ids))
-                prefix += log(pick[2])
-                ids = (ids, pick[1])
-                at = pick[0]
-                if at == len(chain[word]):
-                    word, at = word + 1, 0
-                    if word == len(chain):
-                        break
-                choices, share = chain[word][at], 1.0
-            parts = []
-            while ids is not None:
-                ids, last = ids
-                parts.append(last)
-            found.append(([i for part in reversed(parts) for i in part], prefix, best))
-        kappa = found[k][2] if len(found) > k else None
-        return [(ids, p, 1.0 if kappa is None else -math.expm1(-exp(min(700.0, p - kappa)))) for ids, p, _ in found[:k]]
+        _, _, counts, ids, log_p, inclusion = self.batch([text], k, [seed])
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        return [(part.tolist(), p, q) for part, p, q in zip(parts, log_p.tolist(), inclusion.tolist())]
+
+    def texts(self, ids: np.ndarray, upto: np.ndarray) -> list[str]:
+        """The texts of segmentations that lie behind one another and end at ``upto``: pieces
+        joined, byte pieces as UTF-8, the first blank off."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        spelt = self.bytes[_spans(self.starts[ids], sizes, ends)].tobytes()
+        stops = np.concatenate([[0], ends])[upto].tolist()
+        whole = (spelt[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops], stops))
+        return [t[1:] if t.startswith(" ") else t for t in whole]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of any segmentation: pieces joined, byte pieces as UTF-8, the first blank off."""
-        out = bytearray()
-        for i in ids:
-            piece = self.model.id_to_piece(i)
-            out += bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(_BLANK, " ").encode("utf-8", "surrogatepass")
-        text = out.decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        """The text of any segmentation."""
+        return self.texts(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 _samplers: dict[str, Sampler] = {}
@@ -165,6 +339,12 @@ def sampler(path: str) -> Sampler:
     return _samplers[path]
 
 
+def _stretches(group: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of the stretches of equal values."""
+    cuts = (np.flatnonzero(group[1:] != group[:-1]) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(group)])) if len(group) else []
+
+
 def sample(table: DataFrame, path: str, keys: dict[str, Column], seed: Column, text: str = "text", k: int = K) -> DataFrame:
     """The key columns (cast to long), and for each sample its number, ids, how many, its
     log-probability and its inclusion score."""
@@ -174,31 +354,20 @@ def sample(table: DataFrame, path: str, keys: dict[str, Column], seed: Column, t
     def run(batches):
         from kvloom.llm import subword_sampling
 
-        draw = subword_sampling.sampler(path).sample
-        # A few rows at a time: the samples' ids are many times the size of their texts.
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            rows, number, ids, log_p, inclusion, held = [], [], [], [], [], 0
-            for i, (t, s) in enumerate(zip(batch.column("text"), batch.column("seed").to_pylist())):
-                if not t.is_valid:
-                    continue
-                for j, (found, p, q) in enumerate(draw(t.as_py(), k, s)):
-                    rows.append(i)
-                    number.append(j)
-                    ids.append(found)
-                    log_p.append(p)
-                    inclusion.append(q)
-                    held += len(found)
-                if held >= IDS:
-                    yield packed(batch, rows, number, ids, log_p, inclusion)
-                    rows, number, ids, log_p, inclusion, held = [], [], [], [], [], 0
-            yield packed(batch, rows, number, ids, log_p, inclusion)
-
-    def packed(batch, rows, number, ids, log_p, inclusion):
-        taken = pa.array(rows, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [*(batch.column(c).take(taken) for c in names), pa.array(number, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int32()), pa.array(log_p, pa.float64()), pa.array(inclusion, pa.float64())],
-            names=[*names, "sample", "ids", "n_ids", "log_p", "inclusion"],
-        )
+        draw = subword_sampling.sampler(path).batch
+        for batch in batches:
+            # A few characters at a time: the samples' ids are many times the size of their texts.
+            sizes = np.asarray(pc.fill_null(pc.utf8_length(batch.column("text")), 0)).astype(np.int64)
+            group = np.cumsum(sizes) // CHARACTERS
+            for part in (batch.slice(a, b - a) for a, b in _stretches(group)):
+                part = part.filter(pc.is_valid(part.column("text")))
+                rows, number, counts, ids, log_p, inclusion = draw(part.column("text").to_pylist(), k, part.column("seed").to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
+                taken = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(taken) for c in names), pa.array(number, pa.int32()), lists, pa.array(counts, pa.int32()), pa.array(log_p, pa.float64()), pa.array(inclusion, pa.float64())],
+                    names=[*names, "sample", "ids", "n_ids", "log_p", "inclusion"],
+                )
 
     schema = ", ".join([*(f"{c} long" for c in names), "sample int, ids array<int>, n_ids int, log_p double, inclusion double"])
     chosen = table.select(*[column.cast("long").alias(c) for c, column in keys.items()], table[text].alias("text"), seed.alias("seed"))
@@ -213,9 +382,13 @@ def decode(samples: DataFrame, path: str) -> DataFrame:
     def run(batches):
         from kvloom.llm import subword_sampling
 
-        spell = subword_sampling.sampler(path).decode
+        spell = subword_sampling.sampler(path).texts
         for batch in batches:
-            texts = [spell(x.as_py()) if x.is_valid else None for x in batch.column("ids")]
+            lists = batch.column("ids")
+            ids, offsets, texts = np.asarray(lists.values).astype(np.int64, copy=False), np.asarray(lists.offsets).astype(np.int64), []
+            for a, b in _stretches((offsets[1:] - offsets[0]) // CHARACTERS):
+                texts += spell(ids[offsets[a] : offsets[b]], offsets[a + 1 : b + 1] - offsets[a])
+            texts = [t if valid else None for t, valid in zip(texts, np.asarray(lists.is_valid()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*columns, "decoded"])
 
     return samples.mapInArrow(run, StructType([*samples.schema.fields, StructField("decoded", StringType())]))

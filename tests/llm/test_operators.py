@@ -500,3 +500,36 @@ def test_pipeline(spark):
     rows = brute.near_classes(pairs(docs))
     assert len(rows) == before
     assert materialise(corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)).select("doc_id").distinct().count() == before
+
+
+def _segmentations(sampler, word):
+    """Weight of every segmentation of a word whose characters are all pieces."""
+    if not word:
+        return {(): 0.0}
+    heads = [(sampler.pieces[word[:i]], word[i:]) for i in range(1, len(word) + 1) if word[:i] in sampler.pieces]
+    return {(i, *tail): w + v for (i, w), rest in heads for tail, v in _segmentations(sampler, rest).items()}
+
+
+def test_segmentations_without_replacement_by_enumeration():
+    """First and second draws against the exact law over all segmentations, by words and whole."""
+    sampler = subword_sampling.Sampler(tokenizer_path("piece_bpe_32k.model"))
+    for split in (sampler.split, lambda s: [s]):
+        sampler.split = split
+        law = {a + b: p + q for a, p in _segmentations(sampler, "▁an").items() for b, q in _segmentations(sampler, "▁of").items()}
+        total = sum(map(math.exp, law.values()))
+        law = {ids: math.exp(w) / total for ids, w in law.items()}
+        first, second, n = Counter(), Counter(), 4000
+        for seed in range(n):
+            (a, p, _), (b, q, _) = sampler.sample("an of", 2, seed)
+            assert a != b and abs(p - math.log(law[tuple(a)])) < 1e-6 and abs(q - math.log(law[tuple(b)])) < 1e-6
+            first[tuple(a)] += 1
+            second[tuple(b)] += 1
+        later = {x: sum(p * law[x] / (1 - p) for y, p in law.items() if y != x) for x in law}
+        for seen, exact in ((first, law), (second, later)):
+            for x, p in exact.items():
+                assert abs(seen[x] / n - p) < 4.5 * math.sqrt(p * (1 - p) / n) + 1e-3
+        everything = sampler.sample("an of", len(law) + 5, 1)
+        assert {tuple(ids) for ids, *_ in everything} == set(law) and all(q == 1 for *_, q in everything)
+        long = "antidisestablishmentarianism" * 40 + " é🙂\x07 漢x"
+        drawn = sampler.sample(long, 4, 3)
+        assert len({tuple(ids) for ids, *_ in drawn}) == 4 and all(sampler.decode(ids) == long for ids, *_ in drawn)
