@@ -64,7 +64,7 @@ class Lattices:
         n = len(points)
         left = np.repeat(self.start + sizes, sizes) - np.arange(n)
         src, size, start, weight = self._edges(points, left, sampler)
-        order = np.lexsort((src, left[src]))
+        order = np.argsort(left[src] * n + src)
         src, size, start, weight = src[order], size[order], start[order], weight[order]
         ends = size == left[src]
         mass, p = np.zeros(n + 1), np.zeros(len(src))
@@ -78,7 +78,7 @@ class Lattices:
             sums = np.add.reduceat(share, heads)
             mass[src[lo:hi][heads]] = top + np.log(sums)
             p[lo:hi] = share / np.repeat(sums, counts)
-        order = np.argsort(src, kind="stable")
+        order = np.argsort(src - 0.5 * p)
         src, size, ends, self.p = src[order], size[order], ends[order], p[order]
         self.pool_start, self.dst, self.ends = start[order], src + size, ends
         self.first = np.searchsorted(src, np.arange(n + 1))
@@ -89,8 +89,10 @@ class Lattices:
         ties = np.add.reduceat(largest, heads, dtype=np.int64) if n else np.zeros(0, np.int64)
         self.other = np.where(largest, others[src] + (ties[src] - 1) * self.p, 1.0 - self.p)
         self.log_p = np.log(self.p)
+        #: The probability of a node's edges up to this one, likelier ones first; above 1 for the last.
         total = np.concatenate([[0.0], np.cumsum(self.p)])
-        self.upto = src + (total[1:] - total[self.first[src]])
+        self.upto = total[1:] - total[self.first[src]]
+        self.upto[self.first[1:] - 1] = 2.0
 
     def _edges(self, points: np.ndarray, left: np.ndarray, sampler: Sampler):
         """Node, length, place in the pool of ids and weight of every edge; sets the pool."""
@@ -124,27 +126,33 @@ class Lattices:
         self.pool_sizes[places] = sizes
         return (np.concatenate(c) for c in zip(*parts))
 
-    def fresh(self, words: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """One segmentation of each word: edges of all, how many each has, log-probabilities, and
-        the share of the word's segmentations that is left."""
+    def fresh(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """One segmentation of each word, drawn by its key: edges of all, how many each has,
+        log-probabilities, and the share of the word's segmentations that is left."""
         m = len(words)
-        active, now = np.arange(m), self.start[words]
-        counts, log_p, share, rest = np.zeros(m, np.int64), np.zeros(m), np.ones(m), np.zeros(m)
+        active, now, counts = np.arange(m), self.start[words], np.zeros(m, np.int64)
         steps = []
         while len(active):
-            edges = np.searchsorted(self.upto, now + rng.random(len(now)), side="right")
-            edges = np.minimum(np.maximum(edges, self.first[now]), self.first[now + 1] - 1)
+            edges, noise = self.first[now], _noise(keys, len(steps))
+            late = np.flatnonzero(noise >= self.upto[edges])
+            while len(late):
+                edges[late] += 1
+                late = late[noise[late] >= self.upto[edges[late]]]
             steps.append((active, edges))
             counts[active] += 1
-            log_p[active] += self.log_p[edges]
-            rest[active] += share[active] * self.other[edges]
-            share[active] *= self.p[edges]
-            more = ~self.ends[edges]
-            active, now = active[more], self.dst[edges[more]]
+            more = np.flatnonzero(~self.ends[edges])
+            active, now, keys = active[more], self.dst[edges[more]], keys[more]
         upto = np.cumsum(counts) - counts
         path = np.zeros(int(counts.sum()), np.int64)
+        log_p, share, rest = np.zeros(m), np.ones(m), np.zeros(m)
         for i, (tokens, edges) in enumerate(steps):
             path[upto[tokens] + i] = edges
+            if i:
+                log_p[tokens] += self.log_p[edges]
+                rest[tokens] += share[tokens] * self.other[edges]
+                share[tokens] *= self.p[edges]
+            else:
+                log_p, rest, share = self.log_p[edges], self.other[edges], self.p[edges]
         return path, counts, log_p, rest
 
     def left(self, word: int, taken: list[tuple[int, ...]]) -> list[dict[tuple[int, ...], float]]:
@@ -197,6 +205,14 @@ class Lattices:
         return self.pool[_spans(places, taken, np.cumsum(taken))], counts
 
 
+def _noise(keys: np.ndarray, step: int) -> np.ndarray:
+    """Uniform numbers from 0 to below 1, by 64-bit keys and a step."""
+    z = keys + np.uint64((step + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+
+
 def _mix(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
     """A polynomial hash of a string, longer by one code point; equal hashes are compared whole."""
     return hashes * np.uint64(6364136223846793005) + points + np.uint64(1)
@@ -246,48 +262,66 @@ class Sampler:
         #: A word is its leading blanks and what follows them up to the next blank.
         self.split: Callable[[str], list[str]] = (lambda s: [s]) if crossing else re.compile(f"{_BLANK}*[^{_BLANK}]+|{_BLANK}+$").findall
 
-    def _search(self, words: Lattices, chain: np.ndarray, k: int, seed: int) -> list[tuple[np.ndarray, float, float]]:
-        """Edges, log-probability and maximum of up to ``k`` + 1 paths, best first."""
-        rng = np.random.default_rng(seed & ((1 << 64) - 1))
-        heap: list[tuple] = []
-        found: list[tuple[np.ndarray, float, float]] = []
+    def _search(self, words: Lattices, chains: list[np.ndarray], k: int, seeds: list[int]) -> list[list[tuple[np.ndarray, float, float]]]:
+        """For each text the edges, log-probability and maximum of up to ``k`` + 1 paths, best
+        first.  The texts take turns: each turn draws the next path of all of them at once."""
+        rngs = [np.random.default_rng(seed & ((1 << 64) - 1)) for seed in seeds]
+        heaps: list[list[tuple]] = [[] for _ in chains]
+        found: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in chains]
         pushed = 0
 
-        def push(best, *branch):
+        def push(text, best, *branch):
             nonlocal pushed
             pushed += 1
-            heapq.heappush(heap, (-best, pushed, *branch))
+            heapq.heappush(heaps[text], (-best, pushed, *branch))
 
         def below(location, best, noise):
             """The largest Gumbel at ``location``, given that it is below ``best``."""
             return location - np.log(np.exp(np.minimum(700.0, location - best)) - np.log(noise))
 
-        def finish(head, at, prefix, best):
-            """Draws the words from ``at`` on.  Of what it leaves, only the ``k`` best can come."""
-            edges, counts, log_p, rest = words.fresh(chain[at:], rng)
-            path = np.concatenate([head, edges])
-            upto = prefix + np.cumsum(log_p)
-            if len(counts):
-                before = np.concatenate([[prefix], upto[:-1]])
-                maxima = below(before + np.log(rest), best, 1.0 - rng.random(len(counts)))
-                stops = len(head) + np.cumsum(counts)
-                for i in np.argpartition(-maxima, k - 1)[:k] if len(maxima) > k else range(len(maxima)):
+        def branch(text):
+            """Takes up the text's best branch: text, edges so far, words so far, their
+            log-probability, and the branch's maximum."""
+            minus, _, at, head, prefix, taken = heapq.heappop(heaps[text])
+            word, draw = int(chains[text][at]), rngs[text].random
+            pick = words.another(word, taken, draw)
+            taken = [*taken, pick]
+            left = words.left(word, taken)[0][tuple(range(len(taken)))]
+            if left > 0:
+                push(text, float(below(prefix + math.log(left), -minus, 1.0 - draw())), at, head, prefix, taken)
+            return text, np.append(head, pick), at + 1, prefix + float(words.log_p[list(pick)].sum()), -minus
+
+        def finish(turn):
+            """Draws the rest of each path.  Of what it leaves, only the ``k`` best can come."""
+            tails = [chains[text][at:] for text, _, at, _, _ in turn]
+            sizes = np.array([len(t) for t in tails])
+            stops = np.cumsum(sizes)
+            keys = np.array([rngs[text].integers(1 << 64, dtype=np.uint64) for text, *_ in turn], np.uint64)
+            place = np.arange(stops[-1]) - np.repeat(stops - sizes, sizes)
+            keys = np.repeat(keys, sizes) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+            edges, counts, log_p, rest = words.fresh(np.concatenate(tails), keys)
+            rest, noise, upto = np.log(rest), 1.0 - _noise(keys, -2), np.cumsum(counts)
+            for (text, head, at, prefix, best), lo, hi in zip(turn, (stops - sizes).tolist(), stops.tolist()):
+                if lo == hi:
+                    found[text].append((head, prefix, best))
+                    continue
+                begin = int(upto[lo] - counts[lo])
+                path = np.concatenate([head, edges[begin : upto[hi - 1]]])
+                after = prefix + np.cumsum(log_p[lo:hi])
+                before = np.concatenate([[prefix], after[:-1]])
+                maxima = below(before + rest[lo:hi], best, noise[lo:hi])
+                for i in np.argpartition(-maxima, k - 1)[:k].tolist() if len(maxima) > k else range(len(maxima)):
                     if maxima[i] > -math.inf:
-                        begin, stop = int(stops[i] - counts[i]), int(stops[i])
-                        push(float(maxima[i]), at + int(i), path[:begin], float(before[i]), [tuple(path[begin:stop].tolist())])
-            found.append((path, float(upto[-1]) if len(upto) else prefix, best))
-
-        with np.errstate(divide="ignore"):
-            finish(np.zeros(0, np.int64), 0, 0.0, -math.log(-math.log(1.0 - rng.random()) or 1e-300))
-            while heap and len(found) <= k:
-                minus, _, at, head, prefix, taken = heapq.heappop(heap)
-                word = int(chain[at])
-                pick = words.another(word, taken, rng.random)
-                taken = [*taken, pick]
-                left = words.left(word, taken)[0][tuple(range(len(taken)))]
-                if left > 0:
-                    push(float(below(prefix + math.log(left), -minus, 1.0 - rng.random())), at, head, prefix, taken)
-                finish(np.append(head, pick), at + 1, prefix + float(words.log_p[list(pick)].sum()), -minus)
+                        stop = int(upto[lo + i]) - begin + len(head)
+                        start = stop - int(counts[lo + i])
+                        push(text, float(maxima[i]), at + i, path[:start], float(before[i]), [tuple(path[start:stop].tolist())])
+                found[text].append((path, float(after[-1]), best))
+
+        with np.errstate(divide="ignore", over="ignore"):
+            turn = [(i, np.zeros(0, np.int64), 0, 0.0, -math.log(-math.log(1.0 - rng.random()) or 1e-300)) for i, rng in enumerate(rngs)]
+            while turn:
+                finish(turn)
+                turn = [branch(i) for i, heap in enumerate(heaps) if heap and len(found[i]) <= k]
         return found
 
     def batch(self, texts: list[str], k: int, seeds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -297,8 +331,7 @@ class Sampler:
         chains = [np.fromiter(map(numbers.__getitem__, self.split(_BLANK + t.replace(" ", _BLANK)) if t else ()), np.int64) for t in texts]
         words = Lattices(list(numbers), self)
         rows, places, paths, log_p, inclusion = [], [], [], [], []
-        for i, (chain, seed) in enumerate(zip(chains, seeds)):
-            found = self._search(words, chain, k, seed) if len(chain) else [(chain, 0.0, 0.0)]
+        for i, found in enumerate(self._search(words, chains, k, seeds)):
             kappa = found[k][2] if len(found) > k else None
             for j, (path, p, _) in enumerate(found[:k]):
                 rows.append(i)
