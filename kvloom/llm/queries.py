@@ -49,7 +49,7 @@ def op7_subword_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = tokenizer_path("piece_bpe_32k.model")
     keys = {"doc_id": docs["doc_id"], "text_hash": F.xxhash64("text")}
-    rows = subword_sampling.decode(subword_sampling.sample(docs, path, keys, F.xxhash64("doc_id")), path)
+    rows = subword_sampling.sample(docs, path, keys, F.xxhash64("doc_id"), spell=True)
     return rows.withColumn("round_trip", F.xxhash64("decoded") == F.col("text_hash")).drop("text_hash", "decoded")
 
 

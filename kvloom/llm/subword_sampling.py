@@ -41,7 +41,7 @@ from kvloom.llm.shipping import ship
 K = 4
 RANK_OFFSET = 3.0
 BYTE_LOG_PROBABILITY = -14.0
-CHARACTERS = 1 << 18  # a batch of samples ends at the text that reaches this many
+CHARACTERS = 1 << 17  # a batch of samples ends at the text that reaches this many
 _BLANK = "▁"
 
 
@@ -378,31 +378,33 @@ def _stretches(group: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cuts], [*cuts, len(group)])) if len(group) else []
 
 
-def sample(table: DataFrame, path: str, keys: dict[str, Column], seed: Column, text: str = "text", k: int = K) -> DataFrame:
+def sample(table: DataFrame, path: str, keys: dict[str, Column], seed: Column, text: str = "text", k: int = K, spell: bool = False) -> DataFrame:
     """The key columns (cast to long), and for each sample its number, ids, how many, its
-    log-probability and its inclusion score."""
+    log-probability and its inclusion score; with ``spell`` also ``decoded``, as ``decode`` adds it,
+    without handing the ids to another worker."""
     ship(table.sparkSession)
     names = list(keys)
 
     def run(batches):
         from kvloom.llm import subword_sampling
 
-        draw = subword_sampling.sampler(path).batch
+        model = subword_sampling.sampler(path)
         for batch in batches:
             # A few characters at a time: the samples' ids are many times the size of their texts.
             sizes = np.asarray(pc.fill_null(pc.utf8_length(batch.column("text")), 0)).astype(np.int64)
             group = np.cumsum(sizes) // CHARACTERS
             for part in (batch.slice(a, b - a) for a, b in _stretches(group)):
                 part = part.filter(pc.is_valid(part.column("text")))
-                rows, number, counts, ids, log_p, inclusion = draw(part.column("text").to_pylist(), k, part.column("seed").to_pylist())
+                rows, number, counts, ids, log_p, inclusion = model.batch(part.column("text").to_pylist(), k, part.column("seed").to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
                 taken = pa.array(rows, pa.int64())
+                decoded = [pa.array(model.texts(ids, np.cumsum(counts)), pa.string())] if spell else []
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(taken) for c in names), pa.array(number, pa.int32()), lists, pa.array(counts, pa.int32()), pa.array(log_p, pa.float64()), pa.array(inclusion, pa.float64())],
-                    names=[*names, "sample", "ids", "n_ids", "log_p", "inclusion"],
+                    [*(part.column(c).take(taken) for c in names), pa.array(number, pa.int32()), lists, pa.array(counts, pa.int32()), pa.array(log_p, pa.float64()), pa.array(inclusion, pa.float64()), *decoded],
+                    names=[*names, "sample", "ids", "n_ids", "log_p", "inclusion", *(["decoded"] if spell else [])],
                 )
 
-    schema = ", ".join([*(f"{c} long" for c in names), "sample int, ids array<int>, n_ids int, log_p double, inclusion double"])
+    schema = ", ".join([*(f"{c} long" for c in names), "sample int, ids array<int>, n_ids int, log_p double, inclusion double", *(["decoded string"] if spell else [])])
     chosen = table.select(*[column.cast("long").alias(c) for c, column in keys.items()], table[text].alias("text"), seed.alias("seed"))
     return chosen.mapInArrow(run, schema)
 
@@ -417,11 +419,12 @@ def decode(samples: DataFrame, path: str) -> DataFrame:
 
         spell = subword_sampling.sampler(path).texts
         for batch in batches:
-            lists = batch.column("ids")
-            ids, offsets, texts = np.asarray(lists.values).astype(np.int64, copy=False), np.asarray(lists.offsets).astype(np.int64), []
+            offsets = np.asarray(batch.column("ids").offsets).astype(np.int64)
             for a, b in _stretches((offsets[1:] - offsets[0]) // CHARACTERS):
-                texts += spell(ids[offsets[a] : offsets[b]], offsets[a + 1 : b + 1] - offsets[a])
-            texts = [t if valid else None for t, valid in zip(texts, np.asarray(lists.is_valid()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*columns, "decoded"])
+                part, ends = batch.slice(a, b - a), offsets[a : b + 1]
+                valid = np.asarray(part.column("ids").is_valid())
+                ids = np.asarray(part.column("ids").values)[ends[0] : ends[-1]]
+                texts = [t if known else None for t, known in zip(spell(ids, ends[1:] - ends[0]), valid)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*columns, "decoded"])
 
     return samples.mapInArrow(run, StructType([*samples.schema.fields, StructField("decoded", StringType())]))
