@@ -41,6 +41,7 @@ from kvloom.llm.shipping import ship
 K = 4
 RANK_OFFSET = 3.0
 BYTE_LOG_PROBABILITY = -14.0
+MARK_BITS = 21  # tables that rule out most strings that are no pieces have 2^21 marks
 CHARACTERS = 1 << 17  # a batch of samples ends at the text that reaches this many
 _BLANK = "▁"
 
@@ -83,11 +84,11 @@ class Lattices:
         self.pool_start, self.dst, self.ends = start[order], src + size, ends
         self.first = np.searchsorted(src, np.arange(n + 1))
         heads = self.first[:-1]
-        largest = self.p == np.repeat(np.maximum.reduceat(self.p, heads), np.diff(self.first)) if n else np.zeros(0, bool)
-        #: What an edge leaves of its node, summed and not subtracted where the edge is nearly all.
-        others = np.add.reduceat(np.where(largest, 0.0, self.p), heads) if n else np.zeros(0)
-        ties = np.add.reduceat(largest, heads, dtype=np.int64) if n else np.zeros(0, np.int64)
-        self.other = np.where(largest, others[src] + (ties[src] - 1) * self.p, 1.0 - self.p)
+        #: What an edge leaves of its node, summed and not subtracted where it may be nearly all.
+        self.other, others = 1.0 - self.p, self.p.copy()
+        others[heads] = 0.0
+        if n:
+            self.other[heads] = np.add.reduceat(others, heads)
         self.log_p = np.log(self.p)
         #: The probability of a node's edges up to this one, likelier ones first; above 1 for the last.
         total = np.concatenate([[0.0], np.cumsum(self.p)])
@@ -96,19 +97,25 @@ class Lattices:
 
     def _edges(self, points: np.ndarray, left: np.ndarray, sampler: Sampler):
         """Node, length, place in the pool of ids and weight of every edge; sets the pool."""
-        at, hashes = np.arange(len(points)), np.zeros(len(points), np.uint64)
+        at, last, hashes = np.arange(len(points)), left - 1, np.zeros(len(points), np.uint64)
         missing = np.ones(len(points), bool)
         parts: list[tuple] = []
         for length in range(1, sampler.longest + 1):
-            at = at[left[at] >= length]
+            more = np.flatnonzero(last >= length - 1)
+            at, last = at[more], last[more]
+            hashes = _mix(hashes[more], points[at + (length - 1)])
+            spots = _spot(hashes)
+            more = np.flatnonzero(sampler.begun[spots])  # strings that begin a piece, and a few others
+            at, last, hashes, spots = at[more], last[more], hashes[more], spots[more]
             if not len(at):
                 break
-            hashes[at] = _mix(hashes[at], points[at + length - 1])
             if length in sampler.by_length:
                 keys, ids, weights, spelt = sampler.by_length[length]
-                place = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
-                hit = np.flatnonzero(keys[place] == hashes[at])
-                found, place = at[hit], place[hit]
+                maybe = np.flatnonzero(sampler.whole[spots])
+                wanted = hashes[maybe]
+                place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = np.flatnonzero(keys[place] == wanted)
+                found, place = at[maybe[hit]], place[hit]
                 same = (points[found[:, None] + np.arange(length)] == spelt[place]).all(axis=1)
                 found, place = found[same], place[same]
                 if length == 1:
@@ -218,6 +225,11 @@ def _mix(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
     return hashes * np.uint64(6364136223846793005) + points + np.uint64(1)
 
 
+def _spot(hashes: np.ndarray) -> np.ndarray:
+    """A hash's place in the sampler's tables of marks."""
+    return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
 def _spans(starts: np.ndarray, sizes: np.ndarray, upto: np.ndarray) -> np.ndarray:
     """The places of consecutive stretches: start, start + 1 ... of each."""
     total = int(upto[-1]) if len(upto) else 0
@@ -248,12 +260,15 @@ class Sampler:
         self.sizes = np.array([len(b) for b in spelt], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        self.begun, self.whole = (np.zeros(1 << MARK_BITS, bool) for _ in range(2))
         for length in {len(piece) for piece in self.pieces}:
             these = [piece for piece in self.pieces if len(piece) == length]
             spelt_out = np.frombuffer("".join(these).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, length)
             keys = np.zeros(len(these), np.uint64)
             for column in spelt_out.T:
                 keys = _mix(keys, column)
+                self.begun[_spot(keys)] = True
+            self.whole[_spot(keys)] = True
             order = np.argsort(keys)
             ids, weights = (np.array(c)[order] for c in zip(*(self.pieces[piece] for piece in these)))
             if len(np.unique(keys)) < len(keys):
