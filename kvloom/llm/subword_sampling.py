@@ -82,7 +82,7 @@ class Lattices:
         order = np.argsort(src - 0.5 * p)
         src, size, ends, self.p = src[order], size[order], ends[order], p[order]
         self.pool_start, self.dst, self.ends = start[order], src + size, ends
-        self.first = np.searchsorted(src, np.arange(n + 1))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))])
         heads = self.first[:-1]
         #: What an edge leaves of its node, summed and not subtracted where it may be nearly all.
         self.other, others = 1.0 - self.p, self.p.copy()
@@ -180,19 +180,30 @@ class Lattices:
         shares: list[dict[tuple[int, ...], float]] = [{}]
         for level in reversed(levels):
             below = shares[-1]
-            shares.append({g: sum(float(self.p[e]) * (below.get(children[e], 0.0) if e in children else 1.0) for e in range(self.first[node], self.first[node + 1])) for g, (node, children) in level.items()})
+            shares.append({})
+            for g, (node, children) in level.items():
+                shares[-1][g] = sum(self._without(node, children, below)[1])
         return shares[:0:-1]
 
+    def _without(self, node: int, children: dict[int, tuple[int, ...]], below: dict[tuple[int, ...], float]) -> tuple[int, list[float]]:
+        """A node's first edge and the shares of its edges, less what lies in sets of taken ones."""
+        lo = int(self.first[node])
+        shares = self.p[lo : self.first[node + 1]].tolist()
+        for edge, group in children.items():
+            shares[edge - lo] *= below.get(group, 0.0)
+        return lo, shares
+
     def another(self, word: int, taken: list[tuple[int, ...]], draw) -> tuple[int, ...]:
         """A segmentation drawn from those not taken."""
         shares, group, node, out = self.left(word, taken), tuple(range(len(taken))), int(self.start[word]), []
         while True:
-            choices = range(self.first[node], self.first[node + 1])
-            agree = {e: tuple(t for t in group if taken[t][len(out)] == e) for e in choices}
-            below = shares[len(out) + 1] if len(out) + 1 < len(shares) else {}
-            weights = [float(self.p[e]) * (below.get(agree[e], 0.0) if agree[e] else 1.0) for e in choices]
-            u, pick = draw() * sum(weights), None
-            for e, w in zip(choices, weights):
+            agree: dict[int, tuple[int, ...]] = {}
+            for t in group:
+                edge = taken[t][len(out)]
+                agree[edge] = (*agree.get(edge, ()), t)
+            lo, weights = self._without(node, agree, shares[len(out) + 1] if len(out) + 1 < len(shares) else {})
+            u, pick = draw() * sum(weights), -1
+            for e, w in enumerate(weights, lo):
                 if w > 0:
                     pick = e
                     u -= w
@@ -201,7 +212,7 @@ class Lattices:
             out.append(pick)
             if self.ends[pick]:
                 return tuple(out)
-            group, node = agree[pick], int(self.dst[pick])
+            group, node = agree.get(pick, ()), int(self.dst[pick])
 
     def spell(self, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all paths in one array, and how many each has."""
@@ -315,22 +326,27 @@ class Sampler:
             place = np.arange(stops[-1]) - np.repeat(stops - sizes, sizes)
             keys = np.repeat(keys, sizes) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
             edges, counts, log_p, rest = words.fresh(np.concatenate(tails), keys)
-            rest, noise, upto = np.log(rest), 1.0 - _noise(keys, -2), np.cumsum(counts)
-            for (text, head, at, prefix, best), lo, hi in zip(turn, (stops - sizes).tolist(), stops.tolist()):
+            upto, stops = np.cumsum(counts), stops.tolist()
+            starts = [0, *stops[:-1]]
+            before, after = np.zeros(len(log_p)), np.zeros(len(turn))
+            for i, ((_, _, _, prefix, _), lo, hi) in enumerate(zip(turn, starts, stops)):
+                if lo < hi:
+                    sums = prefix + np.cumsum(log_p[lo:hi])
+                    before[lo], before[lo + 1 : hi], after[i] = prefix, sums[:-1], sums[-1]
+            maxima = below(before + np.log(rest), np.repeat([best for *_, best in turn], sizes), 1.0 - _noise(keys, -2))
+            for (text, head, at, prefix, best), end, lo, hi in zip(turn, after.tolist(), starts, stops):
                 if lo == hi:
                     found[text].append((head, prefix, best))
                     continue
                 begin = int(upto[lo] - counts[lo])
                 path = np.concatenate([head, edges[begin : upto[hi - 1]]])
-                after = prefix + np.cumsum(log_p[lo:hi])
-                before = np.concatenate([[prefix], after[:-1]])
-                maxima = below(before + rest[lo:hi], best, noise[lo:hi])
-                for i in np.argpartition(-maxima, k - 1)[:k].tolist() if len(maxima) > k else range(len(maxima)):
-                    if maxima[i] > -math.inf:
+                mine = maxima[lo:hi]
+                for i in np.argpartition(-mine, k - 1)[:k].tolist() if hi - lo > k else range(hi - lo):
+                    if mine[i] > -math.inf:
                         stop = int(upto[lo + i]) - begin + len(head)
                         start = stop - int(counts[lo + i])
-                        push(text, float(maxima[i]), at + i, path[:start], float(before[i]), [tuple(path[start:stop].tolist())])
-                found[text].append((path, float(after[-1]), best))
+                        push(text, float(mine[i]), at + i, path[:start], float(before[lo + i]), [tuple(path[start:stop].tolist())])
+                found[text].append((path, end, best))
 
         with np.errstate(divide="ignore", over="ignore"):
             turn = [(i, np.zeros(0, np.int64), 0, 0.0, -math.log(-math.log(1.0 - rng.random()) or 1e-300)) for i, rng in enumerate(rngs)]
