@@ -335,6 +335,28 @@ def test_quality_classifier(spark, small, odd):
     assert {r["score"] for r in quality_classifier.score(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_classifier_fits_all_pairs(spark, small):
+    """The slope of the loss over all pairs, written out, vanishes at the fitted weights."""
+    rows = quality_classifier.labelled(quality_classifier.featured(small), spark.read.parquet(f"{SMALL}/labels.parquet"))
+    model, kept = quality_classifier.fit(rows), rows.collect()
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in kept]).astype(float)
+    y, z = np.array([r["y"] for r in kept]), ((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6)).clip(-8, 8)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    slope = lambda w: -(1 / (1 + np.exp(d @ w))) @ d / len(d) + quality_classifier.RIDGE * w
+    assert np.linalg.norm(slope(model.weights)) < 1e-3 * np.linalg.norm(slope(0 * model.weights))
+
+
+def test_quality_classifier_learns_from_every_label(spark):
+    """The threshold parts as many rows of the learning folds as have label 0, many as they are."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    rows = [(i, " ".join(r.choice(words[: 300 if i % 7 else 400]) for _ in range(r.randint(12, 40))), int(r.random() < (0.7 if i % 7 else 0.4))) for i in range(12000)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4), spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    learning = [(r["predicted"], rows[r["doc_id"]][2]) for r in quality_classifier.score(docs, labels).collect() if not r["held_out"]]
+    assert len(learning) > 9000
+    assert abs(sum(p == 0 for p, _ in learning) - sum(q == 0 for _, q in learning)) <= 1
+
+
 def test_html_extraction(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     odd = spark.createDataFrame([(9001, None, None), (9002, "u", ""), (9003, "u", "<p>never <b>closed <div"), (9004, "u", "<nav><a>x</a></nav>")], "page_id long, url string, html string")
