@@ -48,9 +48,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_subword_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = tokenizer_path("piece_bpe_32k.model")
-    keys = {"doc_id": docs["doc_id"], "text_hash": F.xxhash64("text")}
-    rows = subword_sampling.sample(docs, path, keys, F.xxhash64("doc_id"), spell=True)
-    return rows.withColumn("round_trip", F.xxhash64("decoded") == F.col("text_hash")).drop("text_hash", "decoded")
+    return subword_sampling.sample(docs, path, {"doc_id": docs["doc_id"]}, F.xxhash64("doc_id"), check=True)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,9 +26,11 @@ rows draw the same; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,101 +43,110 @@ from kvloom.llm.shipping import ship
 K = 4
 RANK_OFFSET = 3.0
 BYTE_LOG_PROBABILITY = -14.0
-MARK_BITS = 21  # tables that rule out most strings that are no pieces have 2^21 marks
-CHARACTERS = 1 << 17  # a batch of samples ends at the text that reaches this many
+SPOT_BITS = 20  # the table of the pieces' beginnings has 2^20 spots
+EARLY = 96  # words of a path whose branches are drawn first; mostly no later one can be among the best
+CHARACTERS = 1 << 18  # a batch of samples ends at the text that reaches this many
 _BLANK = "▁"
-
-
-class _Numbers(dict):
-    """Numbers words in the order met."""
-
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
+_BY_BLANKS = re.compile(f"{_BLANK}*[^{_BLANK}]+|{_BLANK}+$").findall
 
 
 class Lattices:
-    """The lattices of a few texts' distinct words, as flat arrays.  A node is a character's place
-    in the joined words; an edge is a piece from there.  A word's segmentation is its edges."""
+    """The lattices of a few texts' distinct words, as flat arrays.  A node is a character's place,
+    counted from the ends of the words: all last characters first, the words in order of length.
+    An edge is a piece from there.  A word's segmentation is its edges."""
 
     def __init__(self, words: list[str], sampler: Sampler):
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        sizes = np.array([len(w) for w in words], np.int64)
-        self.start = np.cumsum(sizes) - sizes
-        n = len(points)
-        left = np.repeat(self.start + sizes, sizes) - np.arange(n)
-        src, size, start, weight = self._edges(points, left, sampler)
-        order = np.argsort(left[src] * n + src)
-        src, size, start, weight = src[order], size[order], start[order], weight[order]
-        ends = size == left[src]
-        mass, p = np.zeros(n + 1), np.zeros(len(src))
-        cuts = np.flatnonzero(np.diff(left[src], prepend=0)).tolist() + [len(src)]
-        for lo, hi in zip(cuts, cuts[1:]):  # from the ends of words to their beginnings
-            total = weight[lo:hi] + np.where(ends[lo:hi], 0.0, mass[src[lo:hi] + size[lo:hi]])
-            heads = np.flatnonzero(np.diff(src[lo:hi], prepend=-1))
-            counts = np.diff(heads, append=hi - lo)
-            top = np.maximum.reduceat(total, heads)
-            share = np.exp(total - np.repeat(top, counts))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        n, begin = len(points), np.cumsum(sizes) - sizes
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-sizes, kind="stable")] = np.arange(len(words))
+        reach = np.bincount(sizes)[::-1].cumsum()[::-1][1:] if n else np.zeros(0, np.int64)  # words that long
+        level = np.concatenate([[0], np.cumsum(reach)])
+        left = np.repeat(begin + sizes, sizes) - np.arange(n)
+        node = np.append(level[left - 1] + np.repeat(rank, sizes), n)
+        self.start = level[np.maximum(sizes, 1) - 1] + rank
+        parts, counts = self._edges(points, left, node[:-1], sampler)
+        self.first = first = np.concatenate([[0], np.cumsum(counts)])
+        weight, self.dst, self.pool_start = np.zeros(first[-1]), np.zeros(first[-1], np.int32), np.zeros(first[-1], np.int32)
+        for at, length, nth, start, cost in parts:  # longer ones, mostly likelier, first
+            to = first[node[at] + 1] - 1 - nth
+            self.pool_start[to], weight[to] = start, cost
+            self.dst[to] = np.where(left[at] == length, n, node[np.minimum(at + length, n)])
+        self.ends = self.dst == n
+        mass = np.zeros(n + 1)
+        self.p, self.log_p = np.zeros(first[-1]), weight
+        for a, b in zip(level.tolist(), level[1:].tolist()):  # from the ends of words to their beginnings
+            lo, hi = int(first[a]), int(first[b])
+            heads, many = first[a:b] - lo, counts[a:b]
+            total = self.log_p[lo:hi]
+            total += mass[self.dst[lo:hi]]
+            top = total[heads + many - 1]  # of a piece of one character
+            share = np.exp(total - np.repeat(top, many))
             sums = np.add.reduceat(share, heads)
-            mass[src[lo:hi][heads]] = top + np.log(sums)
-            p[lo:hi] = share / np.repeat(sums, counts)
-        order = np.argsort(src - 0.5 * p)
-        src, size, ends, self.p = src[order], size[order], ends[order], p[order]
-        self.pool_start, self.dst, self.ends = start[order], src + size, ends
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))])
-        heads = self.first[:-1]
+            if not np.isfinite(sums).all():
+                top = np.maximum.reduceat(total, heads)
+                share = np.exp(total - np.repeat(top, many))
+                sums = np.add.reduceat(share, heads)
+            mass[a:b] = top + np.log(sums)
+            self.p[lo:hi] = share / np.repeat(sums, many)
+            total -= np.repeat(mass[a:b], many)
         #: What an edge leaves of its node, summed and not subtracted where it may be nearly all.
-        self.other, others = 1.0 - self.p, self.p.copy()
-        others[heads] = 0.0
-        if n:
-            self.other[heads] = np.add.reduceat(others, heads)
-        self.log_p = np.log(self.p)
-        #: The probability of a node's edges up to this one, likelier ones first; above 1 for the last.
-        total = np.concatenate([[0.0], np.cumsum(self.p)])
-        self.upto = total[1:] - total[self.first[src]]
-        self.upto[self.first[1:] - 1] = 2.0
-
-    def _edges(self, points: np.ndarray, left: np.ndarray, sampler: Sampler):
-        """Node, length, place in the pool of ids and weight of every edge; sets the pool."""
-        at, last, hashes = np.arange(len(points)), left - 1, np.zeros(len(points), np.uint64)
-        missing = np.ones(len(points), bool)
+        self.other = 1.0 - self.p
+        large = np.flatnonzero(self.p > 0.999)
+        head = np.zeros(len(self.p) + 1, bool)
+        head[first] = True
+        large = large[~(head[large] & head[large + 1])]  # an only edge leaves nothing
+        if len(large):
+            heads = np.searchsorted(first, large, "right") - 1
+            many = counts[heads]
+            upto = np.cumsum(many)
+            others = self.p[_spans(first[heads], many, upto)]
+            others[upto - many + large - first[heads]] = 0.0
+            self.other[large] = np.add.reduceat(others, upto - many)
+        #: The probability of a node's edges up to this one; above 1 for the last.
+        self.upto = np.cumsum(self.p)
+        self.upto -= np.repeat(np.concatenate([[0.0], self.upto])[first[:-1]], counts)
+        self.upto[first[1:] - 1] = 2.0
+
+    def _edges(self, points: np.ndarray, left: np.ndarray, node: np.ndarray, sampler: Sampler):
+        """Places, length, number among their node's, place in the pool of ids and weight of the
+        edges of each length, and how many each node has; sets the pool."""
+        counts = np.zeros(len(points), np.int64)
         parts: list[tuple] = []
-        for length in range(1, sampler.longest + 1):
-            more = np.flatnonzero(last >= length - 1)
-            at, last = at[more], last[more]
-            hashes = _mix(hashes[more], points[at + (length - 1)])
-            spots = _spot(hashes)
-            more = np.flatnonzero(sampler.begun[spots])  # strings that begin a piece, and a few others
-            at, last, hashes, spots = at[more], last[more], hashes[more], spots[more]
-            if not len(at):
-                break
-            if length in sampler.by_length:
-                keys, ids, weights, spelt = sampler.by_length[length]
-                maybe = np.flatnonzero(sampler.whole[spots])
-                wanted = hashes[maybe]
-                place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                hit = np.flatnonzero(keys[place] == wanted)
-                found, place = at[maybe[hit]], place[hit]
-                same = (points[found[:, None] + np.arange(length)] == spelt[place]).all(axis=1)
-                found, place = found[same], place[same]
-                if length == 1:
-                    missing[found] = False
-                parts.append((found, np.full(len(found), length), ids[place], weights[place]))
+
+        def add(at, length, start, cost):
+            nth = counts[node[at]]
+            counts[node[at]] = nth + 1
+            parts.append((at, length, nth, start, cost))
+
+        at, state, length = np.arange(len(points)), np.zeros(len(points), np.int64), 0
+        missing = np.ones(len(points), bool)
+        while len(at):
+            at, state = sampler.step(at, state, points[at + length])
+            length += 1
+            ids = sampler.piece_of[state]
+            hit = np.flatnonzero(ids >= 0)
+            found = at[hit]
+            if length == 1:
+                missing[found] = False
+            add(found, length, ids[hit], sampler.weight_of[state[hit]])
+            more = np.flatnonzero(left[at] > length)
+            at, state = at[more], state[more]
         lost = np.flatnonzero(missing)
         kinds, which = np.unique(points[lost], return_inverse=True)
         spelt = [chr(int(c)).encode("utf-8", "surrogatepass") for c in kinds]
         sizes = np.array([len(b) for b in spelt], np.int64)
         places = len(sampler.sizes) + np.cumsum(sizes) - sizes
-        parts.append((lost, np.ones(len(lost), np.int64), places[which], BYTE_LOG_PROBABILITY * sizes[which]))
-        vocabulary = len(sampler.sizes)
-        self.pool = np.concatenate([np.arange(vocabulary), [sampler.byte_ids[b] for x in spelt for b in x]]).astype(np.int32)
+        add(lost, 1, places[which], BYTE_LOG_PROBABILITY * sizes[which])
+        self.vocabulary = len(sampler.sizes)
+        self.pool = np.concatenate([np.arange(self.vocabulary), [sampler.byte_ids[b] for x in spelt for b in x]]).astype(np.int32)
         self.pool_sizes = np.ones(len(self.pool), np.int64)
         self.pool_sizes[places] = sizes
-        return (np.concatenate(c) for c in zip(*parts))
+        return parts, counts
 
-    def fresh(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """One segmentation of each word, drawn by its key: edges of all, how many each has,
-        log-probabilities, and the share of the word's segmentations that is left."""
+    def fresh(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One segmentation of each word, drawn by its key: edges of all, and how many each has."""
         m = len(words)
         active, now, counts = np.arange(m), self.start[words], np.zeros(m, np.int64)
         steps = []
@@ -151,57 +162,41 @@ class Lattices:
             active, now, keys = active[more], self.dst[edges[more]], keys[more]
         upto = np.cumsum(counts) - counts
         path = np.zeros(int(counts.sum()), np.int64)
-        log_p, share, rest = np.zeros(m), np.ones(m), np.zeros(m)
         for i, (tokens, edges) in enumerate(steps):
             path[upto[tokens] + i] = edges
-            if i:
-                log_p[tokens] += self.log_p[edges]
-                rest[tokens] += share[tokens] * self.other[edges]
-                share[tokens] *= self.p[edges]
-            else:
-                log_p, rest, share = self.log_p[edges], self.other[edges], self.p[edges]
-        return path, counts, log_p, rest
-
-    def left(self, word: int, taken: list[tuple[int, ...]]) -> list[dict[tuple[int, ...], float]]:
-        """By depth, for each set of taken segmentations that agree so far, the share of their
-        node that none of them takes; sums only, so small shares stay right."""
-        levels = []
-        groups = {tuple(range(len(taken))): int(self.start[word])}
-        while groups:
-            level = {}
-            for group, node in groups.items():
-                children: dict[int, tuple[int, ...]] = {}
-                for t in group:
-                    edge = taken[t][len(levels)]
-                    children[edge] = (*children.get(edge, ()), t)
-                level[group] = (node, children)
-            levels.append(level)
-            groups = {g: int(self.dst[e]) for _, children in level.values() for e, g in children.items() if not self.ends[e]}
-        shares: list[dict[tuple[int, ...], float]] = [{}]
-        for level in reversed(levels):
-            below = shares[-1]
-            shares.append({})
-            for g, (node, children) in level.items():
-                shares[-1][g] = sum(self._without(node, children, below)[1])
-        return shares[:0:-1]
-
-    def _without(self, node: int, children: dict[int, tuple[int, ...]], below: dict[tuple[int, ...], float]) -> tuple[int, list[float]]:
-        """A node's first edge and the shares of its edges, less what lies in sets of taken ones."""
-        lo = int(self.first[node])
-        shares = self.p[lo : self.first[node + 1]].tolist()
-        for edge, group in children.items():
-            shares[edge - lo] *= below.get(group, 0.0)
-        return lo, shares
-
-    def another(self, word: int, taken: list[tuple[int, ...]], draw) -> tuple[int, ...]:
-        """A segmentation drawn from those not taken."""
-        shares, group, node, out = self.left(word, taken), tuple(range(len(taken))), int(self.start[word]), []
+        return path, counts
+
+    def leaves(self, path: np.ndarray, upto: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words' segmentations, whose edges begin at ``upto``: their log-probabilities, and the
+        share of the word's segmentations that each leaves."""
+        ends = np.cumsum(counts)
+        log_p = np.add.reduceat(self.log_p[path[_spans(upto, counts, ends)]], ends - counts) if len(counts) else np.zeros(0)
+        rest = -np.expm1(log_p)
+        small = np.flatnonzero(rest < 1e-6)  # summed, as what an edge leaves
+        sizes, below = counts[small], np.zeros(len(small))
+        for i in range(int(sizes.max(initial=0)) - 1, -1, -1):
+            long = np.flatnonzero(sizes > i)
+            edges = path[upto[small[long]] + i]
+            below[long] = self.other[edges] + self.p[edges] * below[long]
+        rest[small] = below
+        return log_p, rest
+
+    def taken(self, path: list[int]) -> list:
+        """A tree of taken segmentations, of one: what is left of a node (sums only, so small
+        shares stay right) and the trees below its edges."""
+        tree: list = [0.0, {}]
+        for edge in reversed(path):
+            tree = [float(self.other[edge]) + float(self.p[edge]) * tree[0], {edge: tree}]
+        return tree
+
+    def another(self, word: int, tree: list, draw) -> list[int]:
+        """A segmentation drawn from those not taken, which then is taken too."""
+        node, out, trees, shares = int(self.start[word]), [], [], []
         while True:
-            agree: dict[int, tuple[int, ...]] = {}
-            for t in group:
-                edge = taken[t][len(out)]
-                agree[edge] = (*agree.get(edge, ()), t)
-            lo, weights = self._without(node, agree, shares[len(out) + 1] if len(out) + 1 < len(shares) else {})
+            lo = int(self.first[node])
+            weights = self.p[lo : self.first[node + 1]].tolist()
+            for edge, below in tree[1].items():
+                weights[edge - lo] *= below[0]
             u, pick = draw() * sum(weights), -1
             for e, w in enumerate(weights, lo):
                 if w > 0:
@@ -210,13 +205,24 @@ class Lattices:
                     if u < 0:
                         break
             out.append(pick)
+            trees.append(tree)
+            shares.append((lo, weights))
+            tree = tree[1].setdefault(pick, [1.0, {}])
+            node = int(self.dst[pick])
             if self.ends[pick]:
-                return tuple(out)
-            group, node = agree.get(pick, ()), int(self.dst[pick])
+                break
+        tree[0] = 0.0
+        for edge, above, (lo, weights) in zip(reversed(out), reversed(trees), reversed(shares)):
+            weights[edge - lo] = float(self.p[edge]) * tree[0]
+            above[0] = sum(weights)
+            tree = above
+        return out
 
     def spell(self, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all paths in one array, and how many each has."""
-        places = self.pool_start[np.concatenate(paths)] if paths else np.zeros(0, np.int64)
+        places = self.pool_start[np.concatenate(paths)] if paths else np.zeros(0, np.int32)
+        if not len(places) or places.max() < self.vocabulary:
+            return self.pool[places], np.fromiter(map(len, paths), np.int64, len(paths))
         taken = self.pool_sizes[places]
         owners = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
         counts = np.bincount(owners, weights=taken, minlength=len(paths)).astype(np.int64)
@@ -231,20 +237,18 @@ def _noise(keys: np.ndarray, step: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
 
 
-def _mix(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """A polynomial hash of a string, longer by one code point; equal hashes are compared whole."""
-    return hashes * np.uint64(6364136223846793005) + points + np.uint64(1)
-
-
-def _spot(hashes: np.ndarray) -> np.ndarray:
-    """A hash's place in the sampler's tables of marks."""
-    return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+def _spot(keys: np.ndarray) -> np.ndarray:
+    """A key's place in the sampler's table."""
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SPOT_BITS)).astype(np.int64)
 
 
 def _spans(starts: np.ndarray, sizes: np.ndarray, upto: np.ndarray) -> np.ndarray:
     """The places of consecutive stretches: start, start + 1 ... of each."""
     total = int(upto[-1]) if len(upto) else 0
-    return np.repeat(starts - (upto - sizes), sizes) + np.arange(total)
+    kind = np.int32 if max(total, int(starts.max(initial=0))) < 1 << 30 else np.int64
+    places = np.repeat((starts - (upto - sizes)).astype(kind), sizes)
+    places += np.arange(total, dtype=kind)
+    return places
 
 
 class Sampler:
@@ -266,31 +270,48 @@ class Sampler:
             elif not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i)):
                 self.pieces[piece] = (i, -math.log(max(0.0, -self.model.get_score(i)) + RANK_OFFSET))
                 crossing |= _BLANK in piece.lstrip(_BLANK)
-        self.longest = max(map(len, self.pieces), default=1)
+        self._states()
         self.bytes = np.frombuffer(b"".join(spelt), np.uint8)
         self.sizes = np.array([len(b) for b in spelt], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
-        self.begun, self.whole = (np.zeros(1 << MARK_BITS, bool) for _ in range(2))
-        for length in {len(piece) for piece in self.pieces}:
-            these = [piece for piece in self.pieces if len(piece) == length]
-            spelt_out = np.frombuffer("".join(these).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, length)
-            keys = np.zeros(len(these), np.uint64)
-            for column in spelt_out.T:
-                keys = _mix(keys, column)
-                self.begun[_spot(keys)] = True
-            self.whole[_spot(keys)] = True
-            order = np.argsort(keys)
-            ids, weights = (np.array(c)[order] for c in zip(*(self.pieces[piece] for piece in these)))
-            if len(np.unique(keys)) < len(keys):
-                raise ValueError("two pieces of one length share a hash")
-            self.by_length[length] = keys[order], ids, weights, spelt_out[order]
         #: A word is its leading blanks and what follows them up to the next blank.
-        self.split: Callable[[str], list[str]] = (lambda s: [s]) if crossing else re.compile(f"{_BLANK}*[^{_BLANK}]+|{_BLANK}+$").findall
-
-    def _search(self, words: Lattices, chains: list[np.ndarray], k: int, seeds: list[int]) -> list[list[tuple[np.ndarray, float, float]]]:
-        """For each text the edges, log-probability and maximum of up to ``k`` + 1 paths, best
-        first.  The texts take turns: each turn draws the next path of all of them at once."""
+        self.split: Callable[[str], list[str]] = (lambda s: [s]) if crossing else _BY_BLANKS
+
+    def _states(self) -> None:
+        """The tree of the pieces' beginnings.  A state's key is the state before it (0: the empty
+        string) and a code point; keys of one spot of the table are chained."""
+        states: dict[int, int] = {}
+        ends = []
+        for piece in self.pieces:
+            state = 0
+            for c in piece:
+                state = states.setdefault(state << 21 | ord(c), len(states) + 1)
+            ends.append(state)
+        self.keys = np.array([-1, *states], np.int64)
+        self.piece_of, self.weight_of = np.full(len(self.keys), -1, np.int64), np.zeros(len(self.keys))
+        ids, weights = zip(*self.pieces.values()) if self.pieces else ((), ())
+        self.piece_of[ends], self.weight_of[ends] = ids, weights
+        self.table, self.chain = np.zeros(1 << SPOT_BITS, np.int32), np.zeros(len(self.keys), np.int32)
+        for state, spot in enumerate(_spot(self.keys[1:]).tolist(), 1):
+            self.chain[state], self.table[spot] = self.table[spot], state
+
+    def step(self, at: np.ndarray, state: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of strings that have a state, those that have one with a code point more, and that state."""
+        keys = state << 21 | points
+        state = self.table[_spot(keys)]
+        more = np.flatnonzero(state)
+        at, state, keys = at[more], state[more], keys[more]
+        wrong = np.flatnonzero(self.keys[state] != keys)
+        while len(wrong):
+            state[wrong] = self.chain[state[wrong]]
+            wrong = wrong[(state[wrong] != 0) & (self.keys[state[wrong]] != keys[wrong])]
+        more = np.flatnonzero(state)
+        return at[more], state[more].astype(np.int64)
+
+    def _search(self, words: Lattices, chains: list[np.ndarray], k: int, seeds: list[int]) -> tuple[list[list[tuple[np.ndarray, float, float]]], list[float | None]]:
+        """For each text the edges, log-probability and maximum of up to ``k`` paths, best first,
+        and the maximum of the next, if there is one; its path is not drawn.  The texts take turns:
+        each turn draws the next path of all of them at once."""
         rngs = [np.random.default_rng(seed & ((1 << 64) - 1)) for seed in seeds]
         heaps: list[list[tuple]] = [[] for _ in chains]
         found: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in chains]
@@ -310,12 +331,11 @@ class Sampler:
             log-probability, and the branch's maximum."""
             minus, _, at, head, prefix, taken = heapq.heappop(heaps[text])
             word, draw = int(chains[text][at]), rngs[text].random
+            taken = words.taken(taken.tolist()) if isinstance(taken, np.ndarray) else taken
             pick = words.another(word, taken, draw)
-            taken = [*taken, pick]
-            left = words.left(word, taken)[0][tuple(range(len(taken)))]
-            if left > 0:
-                push(text, float(below(prefix + math.log(left), -minus, 1.0 - draw())), at, head, prefix, taken)
-            return text, np.append(head, pick), at + 1, prefix + float(words.log_p[list(pick)].sum()), -minus
+            if taken[0] > 0:
+                push(text, float(below(prefix + math.log(taken[0]), -minus, 1.0 - draw())), at, head, prefix, taken)
+            return text, np.append(head, pick), at + 1, prefix + sum(words.log_p[pick].tolist()), -minus
 
         def finish(turn):
             """Draws the rest of each path.  Of what it leaves, only the ``k`` best can come."""
@@ -325,46 +345,69 @@ class Sampler:
             keys = np.array([rngs[text].integers(1 << 64, dtype=np.uint64) for text, *_ in turn], np.uint64)
             place = np.arange(stops[-1]) - np.repeat(stops - sizes, sizes)
             keys = np.repeat(keys, sizes) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-            edges, counts, log_p, rest = words.fresh(np.concatenate(tails), keys)
-            upto, stops = np.cumsum(counts), stops.tolist()
+            edges, counts = words.fresh(np.concatenate(tails), keys)
+            upto, stops = np.cumsum(counts) - counts, stops.tolist()
+            begins = [0, *upto.tolist(), len(edges)]
             starts = [0, *stops[:-1]]
-            before, after = np.zeros(len(log_p)), np.zeros(len(turn))
-            for i, ((_, _, _, prefix, _), lo, hi) in enumerate(zip(turn, starts, stops)):
-                if lo < hi:
-                    sums = prefix + np.cumsum(log_p[lo:hi])
-                    before[lo], before[lo + 1 : hi], after[i] = prefix, sums[:-1], sums[-1]
-            maxima = below(before + np.log(rest), np.repeat([best for *_, best in turn], sizes), 1.0 - _noise(keys, -2))
-            for (text, head, at, prefix, best), end, lo, hi in zip(turn, after.tolist(), starts, stops):
+
+            def maxima(lows, sizes, texts):
+                """For words of these texts, so many from each low: what comes before each, and
+                the largest Gumbel of what it leaves."""
+                ends = np.cumsum(sizes)
+                at = _spans(lows, sizes, ends)
+                log_p, rest = words.leaves(edges, upto[at], counts[at])
+                before = np.zeros(len(at))
+                for text, lo, hi in zip(texts, (ends - sizes).tolist(), ends.tolist()):
+                    if lo < hi:
+                        before[lo] = turn[text][3]
+                        before[lo + 1 : hi] = turn[text][3] + np.cumsum(log_p[lo : hi - 1])
+                return before, below(before + np.log(rest), np.repeat([turn[text][4] for text in texts], sizes), noise[at])
+
+            noise = 1.0 - np.maximum(_noise(keys, -2), 2.0**-53)
+            few = np.minimum(sizes, EARLY)
+            befores, bests = maxima(np.array(starts), few, range(len(turn)))
+            ends = np.cumsum(few).tolist()
+            for i, ((text, head, at, prefix, best), lo, hi, a, b) in enumerate(zip(turn, starts, stops, [0, *ends], ends)):
                 if lo == hi:
                     found[text].append((head, prefix, best))
                     continue
-                begin = int(upto[lo] - counts[lo])
-                path = np.concatenate([head, edges[begin : upto[hi - 1]]])
-                mine = maxima[lo:hi]
-                for i in np.argpartition(-mine, k - 1)[:k].tolist() if hi - lo > k else range(hi - lo):
-                    if mine[i] > -math.inf:
-                        stop = int(upto[lo + i]) - begin + len(head)
-                        start = stop - int(counts[lo + i])
-                        push(text, float(mine[i]), at + i, path[:start], float(before[lo + i]), [tuple(path[start:stop].tolist())])
-                found[text].append((path, end, best))
+                begin = begins[lo + 1]
+                tail = edges[begin : begins[hi + 1]]
+                path = np.concatenate([head, tail])
+                before, mine = befores[a:b], bests[a:b]
+                if hi - lo > EARLY:
+                    floor = np.partition(mine, EARLY - k)[EARLY - k] if k <= EARLY else -math.inf
+                    highest = -math.log(-math.log(noise[lo + EARLY : hi].max()))
+                    if not before[-1] + highest < floor:  # else no later word can have one of the k best
+                        before, mine = maxima(np.array([lo]), np.array([hi - lo]), [i])
+                for j in np.argpartition(-mine, k - 1)[:k].tolist() if len(mine) > k else range(len(mine)):
+                    if mine[j] > -math.inf:
+                        start = begins[lo + j + 1] - begin + len(head)
+                        push(text, float(mine[j]), at + j, path[:start], float(before[j]), path[start : start + int(counts[lo + j])])
+                found[text].append((path, prefix + float(words.log_p[tail].sum()), best))
 
         with np.errstate(divide="ignore", over="ignore"):
             turn = [(i, np.zeros(0, np.int64), 0, 0.0, -math.log(-math.log(1.0 - rng.random()) or 1e-300)) for i, rng in enumerate(rngs)]
             while turn:
                 finish(turn)
-                turn = [branch(i) for i, heap in enumerate(heaps) if heap and len(found[i]) <= k]
-        return found
+                turn = [branch(i) for i, heap in enumerate(heaps) if heap and len(found[i]) < k]
+        return found, [-heap[0][0] if heap else None for heap in heaps]
 
     def batch(self, texts: list[str], k: int, seeds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of all samples of these texts: the text's place, the sample's number, how many ids, all
         ids in one array, log-probabilities and inclusions."""
-        numbers = _Numbers()
-        chains = [np.fromiter(map(numbers.__getitem__, self.split(_BLANK + t.replace(" ", _BLANK)) if t else ()), np.int64) for t in texts]
-        words = Lattices(list(numbers), self)
+        numbers: dict[str, int] = defaultdict(itertools.count().__next__)  # of words, less their first blank
+        chains = []
+        for t in texts:
+            if self.split is not _BY_BLANKS or not t or t.endswith(" ") or "  " in t or t.startswith(" ") or _BLANK in t:
+                parts = [w[1:] for w in self.split(_BLANK + t.replace(" ", _BLANK))] if t else []
+            else:
+                parts = t.split(" ")
+            chains.append(np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts)))
+        words = Lattices([_BLANK + w for w in numbers], self)
         rows, places, paths, log_p, inclusion = [], [], [], [], []
-        for i, found in enumerate(self._search(words, chains, k, seeds)):
-            kappa = found[k][2] if len(found) > k else None
-            for j, (path, p, _) in enumerate(found[:k]):
+        for i, (found, kappa) in enumerate(zip(*self._search(words, chains, k, seeds))):
+            for j, (path, p, _) in enumerate(found):
                 rows.append(i)
                 places.append(j)
                 paths.append(path)
@@ -379,15 +422,18 @@ class Sampler:
         parts = np.split(ids, np.cumsum(counts)[:-1])
         return [(part.tolist(), p, q) for part, p, q in zip(parts, log_p.tolist(), inclusion.tolist())]
 
-    def texts(self, ids: np.ndarray, upto: np.ndarray) -> list[str]:
-        """The texts of segmentations that lie behind one another and end at ``upto``: pieces
-        joined, byte pieces as UTF-8, the first blank off."""
+    def spelt(self, ids: np.ndarray, upto: np.ndarray) -> Iterator[bytes]:
+        """The bytes of segmentations that lie behind one another and end at ``upto``: pieces
+        joined, the first blank off."""
         sizes = self.sizes[ids]
         ends = np.cumsum(sizes)
-        spelt = self.bytes[_spans(self.starts[ids], sizes, ends)].tobytes()
+        joined = self.bytes[_spans(self.starts[ids], sizes, ends)].tobytes()
         stops = np.concatenate([[0], ends])[upto].tolist()
-        whole = (spelt[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops], stops))
-        return [t[1:] if t.startswith(" ") else t for t in whole]
+        return (joined[a + joined.startswith(b" ", a, b) : b] for a, b in zip([0, *stops], stops))
+
+    def texts(self, ids: np.ndarray, upto: np.ndarray) -> list[str]:
+        """Their texts, byte pieces as UTF-8."""
+        return [t.decode("utf-8", "replace") for t in self.spelt(ids, upto)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of any segmentation."""
@@ -409,10 +455,10 @@ def _stretches(group: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cuts], [*cuts, len(group)])) if len(group) else []
 
 
-def sample(table: DataFrame, path: str, keys: dict[str, Column], seed: Column, text: str = "text", k: int = K, spell: bool = False) -> DataFrame:
+def sample(table: DataFrame, path: str, keys: dict[str, Column], seed: Column, text: str = "text", k: int = K, check: bool = False) -> DataFrame:
     """The key columns (cast to long), and for each sample its number, ids, how many, its
-    log-probability and its inclusion score; with ``spell`` also ``decoded``, as ``decode`` adds it,
-    without handing the ids to another worker."""
+    log-probability and its inclusion score; with ``check`` also ``round_trip``: whether the ids,
+    decoded, are the text, byte for byte."""
     ship(table.sparkSession)
     names = list(keys)
 
@@ -426,16 +472,18 @@ def sample(table: DataFrame, path: str, keys: dict[str, Column], seed: Column, t
             group = np.cumsum(sizes) // CHARACTERS
             for part in (batch.slice(a, b - a) for a, b in _stretches(group)):
                 part = part.filter(pc.is_valid(part.column("text")))
-                rows, number, counts, ids, log_p, inclusion = model.batch(part.column("text").to_pylist(), k, part.column("seed").to_pylist())
+                texts = part.column("text").to_pylist()
+                rows, number, counts, ids, log_p, inclusion = model.batch(texts, k, part.column("seed").to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
                 taken = pa.array(rows, pa.int64())
-                decoded = [pa.array(model.texts(ids, np.cumsum(counts)), pa.string())] if spell else []
+                whole = [t.encode("utf-8") for t in texts] if check else []
+                same = [pa.array([whole[row] == spelt for row, spelt in zip(rows.tolist(), model.spelt(ids, np.cumsum(counts)))], pa.bool_())] if check else []
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(taken) for c in names), pa.array(number, pa.int32()), lists, pa.array(counts, pa.int32()), pa.array(log_p, pa.float64()), pa.array(inclusion, pa.float64()), *decoded],
-                    names=[*names, "sample", "ids", "n_ids", "log_p", "inclusion", *(["decoded"] if spell else [])],
+                    [*(part.column(c).take(taken) for c in names), pa.array(number, pa.int32()), lists, pa.array(counts, pa.int32()), pa.array(log_p, pa.float64()), pa.array(inclusion, pa.float64()), *same],
+                    names=[*names, "sample", "ids", "n_ids", "log_p", "inclusion", *(["round_trip"] if check else [])],
                 )
 
-    schema = ", ".join([*(f"{c} long" for c in names), "sample int, ids array<int>, n_ids int, log_p double, inclusion double", *(["decoded string"] if spell else [])])
+    schema = ", ".join([*(f"{c} long" for c in names), "sample int, ids array<int>, n_ids int, log_p double, inclusion double", *(["round_trip boolean"] if check else [])])
     chosen = table.select(*[column.cast("long").alias(c) for c, column in keys.items()], table[text].alias("text"), seed.alias("seed"))
     return chosen.mapInArrow(run, schema)
 

@@ -488,6 +488,20 @@ def test_subword_sampling_query_takes_whole_documents(spark, small):
     assert max(r["n_ids"] for r in rows) * 8 > max(len(t or "") for _, t in pairs(small))
 
 
+def test_subword_samples_do_not_depend_on_branches_left_out(monkeypatch):
+    """Branches of later words are left out only where none can be among the best."""
+    sampler = subword_sampling.Sampler(tokenizer_path("piece_bpe_32k.model"))
+    texts = ["the quick brown fox jumps over the lazy dog " * 40, ", " * 500 + "there", "\x07 " * 300 + "an of", "  a  b ", "é漢🙂" * 50]
+    for k in (1, 4, 30):
+        monkeypatch.setattr(subword_sampling, "EARLY", 8)
+        some = sampler.batch(texts, k, list(range(len(texts))))
+        monkeypatch.setattr(subword_sampling, "EARLY", 1 << 20)
+        for a, b in zip(some, sampler.batch(texts, k, list(range(len(texts))))):
+            assert np.allclose(a, b, rtol=0, atol=1e-9)
+        ids, upto = some[3], np.cumsum(some[2])
+        assert [t.encode() for t in np.array(texts, object)[some[0]]] == list(sampler.spelt(ids, upto))
+
+
 def test_inclusion_scores_are_unbiased():
     sampler = subword_sampling.Sampler(tokenizer_path("piece_bpe_32k.model"))
     n, weights, p = 4000, Counter(), {}
