@@ -29,7 +29,6 @@ import heapq
 import itertools
 import math
 import re
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,7 +44,7 @@ RANK_OFFSET = 3.0
 BYTE_LOG_PROBABILITY = -14.0
 SPOT_BITS = 20  # the table of the pieces' beginnings has 2^20 spots
 EARLY = 96  # words of a path whose branches are drawn first; mostly no later one can be among the best
-CHARACTERS = 1 << 18  # a batch of samples ends at the text that reaches this many
+CHARACTERS = 1 << 19  # a batch of samples ends at the text that reaches this many
 _BLANK = "▁"
 _BY_BLANKS = re.compile(f"{_BLANK}*[^{_BLANK}]+|{_BLANK}+$").findall
 
@@ -232,9 +231,13 @@ class Lattices:
 def _noise(keys: np.ndarray, step: int) -> np.ndarray:
     """Uniform numbers from 0 to below 1, by 64-bit keys and a step."""
     z = keys + np.uint64((step + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    z >>= np.uint64(11)
+    return z * 2.0**-53
 
 
 def _spot(keys: np.ndarray) -> np.ndarray:
@@ -323,9 +326,14 @@ class Sampler:
             heapq.heappush(heaps[text], (-best, pushed, *branch))
 
         def below(location, best, noise):
-            """The largest Gumbel at ``location``, given that it is below ``best``."""
+            """The largest Gumbel at each ``location``, given that it is below ``best``."""
             return location - np.log(np.exp(np.minimum(700.0, location - best)) - np.log(noise))
 
+        def next_below(location, best, noise):
+            """The same of a single one."""
+            rate = math.exp(min(700.0, location - best)) - math.log(noise)
+            return location - math.log(rate) if rate > 0 else best
+
         def branch(text):
             """Takes up the text's best branch: text, edges so far, words so far, their
             log-probability, and the branch's maximum."""
@@ -334,7 +342,7 @@ class Sampler:
             taken = words.taken(taken.tolist()) if isinstance(taken, np.ndarray) else taken
             pick = words.another(word, taken, draw)
             if taken[0] > 0:
-                push(text, float(below(prefix + math.log(taken[0]), -minus, 1.0 - draw())), at, head, prefix, taken)
+                push(text, next_below(prefix + math.log(taken[0]), -minus, 1.0 - draw()), at, head, prefix, taken)
             return text, np.append(head, pick), at + 1, prefix + sum(words.log_p[pick].tolist()), -minus
 
         def finish(turn):
@@ -343,8 +351,8 @@ class Sampler:
             sizes = np.array([len(t) for t in tails])
             stops = np.cumsum(sizes)
             keys = np.array([rngs[text].integers(1 << 64, dtype=np.uint64) for text, *_ in turn], np.uint64)
-            place = np.arange(stops[-1]) - np.repeat(stops - sizes, sizes)
-            keys = np.repeat(keys, sizes) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+            by_place = np.arange(stops[-1], dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+            keys = np.repeat(keys - (stops - sizes).astype(np.uint64) * np.uint64(0xD1342543DE82EF95), sizes) + by_place
             edges, counts = words.fresh(np.concatenate(tails), keys)
             upto, stops = np.cumsum(counts) - counts, stops.tolist()
             begins = [0, *upto.tolist(), len(edges)]
@@ -393,18 +401,40 @@ class Sampler:
                 turn = [branch(i) for i, heap in enumerate(heaps) if heap and len(found[i]) < k]
         return found, [-heap[0][0] if heap else None for heap in heaps]
 
+    def chains(self, texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+        """The distinct words of these texts, less their first blank, and each text's words by number."""
+        plain, parts = [], {}
+        for i, t in enumerate(texts):
+            if self.split is not _BY_BLANKS or not t or t.endswith(" ") or "  " in t or t.startswith(" ") or _BLANK in t:
+                parts[i] = [w[1:] for w in self.split(_BLANK + t.replace(" ", _BLANK))] if t else []
+            else:
+                plain.append(i)
+        try:
+            lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        except UnicodeEncodeError:  # lone surrogates, which no column has
+            parts |= {i: texts[i].split(" ") for i in plain}
+            plain, lists = [], pa.array([], pa.list_(pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        distinct: list[str] = []
+        if len(coded.dictionary):  # joined and split, since none has a blank, faster than one by one
+            distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        places = np.asarray(coded.indices).astype(np.int64)
+        offsets = np.asarray(lists.offsets).tolist()
+        found = {i: places[a:b] for i, a, b in zip(plain, offsets, offsets[1:])}
+        if any(parts.values()):
+            numbers = dict(zip(distinct, itertools.count()))
+            for words in parts.values():
+                for w in words:
+                    numbers.setdefault(w, len(numbers))
+            distinct = list(numbers)
+        found |= {i: np.fromiter((numbers[w] for w in words), np.int64, len(words)) for i, words in parts.items()}
+        return distinct, [found[i] for i in range(len(texts))]
+
     def batch(self, texts: list[str], k: int, seeds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of all samples of these texts: the text's place, the sample's number, how many ids, all
         ids in one array, log-probabilities and inclusions."""
-        numbers: dict[str, int] = defaultdict(itertools.count().__next__)  # of words, less their first blank
-        chains = []
-        for t in texts:
-            if self.split is not _BY_BLANKS or not t or t.endswith(" ") or "  " in t or t.startswith(" ") or _BLANK in t:
-                parts = [w[1:] for w in self.split(_BLANK + t.replace(" ", _BLANK))] if t else []
-            else:
-                parts = t.split(" ")
-            chains.append(np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts)))
-        words = Lattices([_BLANK + w for w in numbers], self)
+        distinct, chains = self.chains(texts)
+        words = Lattices([_BLANK + w for w in distinct], self)
         rows, places, paths, log_p, inclusion = [], [], [], [], []
         for i, (found, kappa) in enumerate(zip(*self._search(words, chains, k, seeds))):
             for j, (path, p, _) in enumerate(found):

@@ -502,6 +502,22 @@ def test_subword_samples_do_not_depend_on_branches_left_out(monkeypatch):
         assert [t.encode() for t in np.array(texts, object)[some[0]]] == list(sampler.spelt(ids, upto))
 
 
+def test_subword_words_of_a_batch():
+    """The words of texts taken together are those of each text alone, numbered as they come."""
+    sampler = subword_sampling.Sampler(tokenizer_path("piece_bpe_32k.model"))
+    texts = ["a b a", "", " ", "c  a ", " b", "b\nc a", "a\u2581b", "x", "é 漢 x", "a b a"]
+    for mine in (texts, [], [""], [*texts, "a \ud800 b"]):
+        words, chains = sampler.chains(mine)
+        assert len(words) == len(set(words)) and len(chains) == len(mine)
+        for t, chain in zip(mine, chains):
+            assert ["\u2581" + words[i] for i in chain] == (sampler.split(("\u2581" + t).replace(" ", "\u2581")) if t else [])
+        together = sampler.batch(mine, 3, list(range(len(mine))))
+        assert sorted(set(together[0].tolist())) == list(range(len(mine)))
+        for i, t in enumerate(mine):
+            alone = np.concatenate([ids for ids, *_ in sampler.sample(t, 3, i)])
+            assert together[3][np.repeat(together[0], together[2]) == i].tolist() == alone.tolist()
+
+
 def test_inclusion_scores_are_unbiased():
     sampler = subword_sampling.Sampler(tokenizer_path("piece_bpe_32k.model"))
     n, weights, p = 4000, Counter(), {}
